@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality
+from weftline.llm import bpe, decontaminate, html_extract, language_id, license_scan, line_dedup, ngram_join, pii, quality, url_filter
 from weftline.llm.common import table
 
 #: The tokenizer file of the BPE query; the vocabulary is read where it lies.
@@ -20,6 +20,23 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(*language_id.sample(docs)))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup_lines(docs)
@@ -48,7 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_line_dedup": op2_line_dedup,
+        "op3_url_filter": op3_url_filter,
+        "op4_html_extract": op4_html_extract,
+        "op5_license_scan": op5_license_scan,
         "op6_pii": op6_pii,
         "op7_decontaminate": op7_decontaminate,
         "op8_bpe": op8_bpe,
@@ -82,4 +103,4 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN owners USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL}
+    return {"op5_license_scan": license_scan.oracle(), "op7_decontaminate": OP7_SQL}
