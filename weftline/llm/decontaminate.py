@@ -165,6 +165,16 @@ def _scan(handle, first: bool, last: bool):
     return run
 
 
+def _handles(benchmark: DataFrame, window: int, block_bytes: int):
+    """(number, number of blocks, broadcast pattern set) of each block of benchmark items, one at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        yield k, blocks, benchmark.sparkSession.sparkContext.broadcast(PatternSet([(r[0], r[1].encode()) for r in part.toLocalIterator()], window))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -173,16 +183,31 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     either side change nothing but the number of result rows. An empty benchmark leaves every document clean.
     Further columns of both inputs are ignored.
     """
-    spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     docs = documents.select("doc_id", "text")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        handle = spark.sparkContext.broadcast(PatternSet([(r[0], r[1].encode()) for r in part.toLocalIterator()], window))
+    for k, blocks, handle in _handles(benchmark, window, block_bytes):
         last = k == blocks - 1
         schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else f"doc_id {id_type}, text string, hit binary, items array<string>"
         docs = docs.mapInArrow(_scan(handle, k == 0, last), schema)
     return docs
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The document rows without any occurrence of a benchmark window, all columns as they are."""
+
+    def clean(handle):
+        def run(batches):
+            patterns: PatternSet = handle.value
+            for batch in text_blocks(batches):
+                docs = [b" " + b" ".join(words_of(t)) + b" " for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                starts = np.cumsum([0, *(len(d) + 1 for d in docs)])[:-1]
+                hit = np.zeros(len(docs), bool)
+                at = np.array([h[0] for h in patterns.search(b"\n".join(docs))], np.int64)
+                hit[np.searchsorted(starts, at, "right") - 1] = True
+                yield batch.filter(pa.array(~hit))
+
+        return run
+
+    for _, _, handle in _handles(benchmark, window, block_bytes):
+        documents = documents.mapInArrow(clean(handle), documents.schema)
+    return documents

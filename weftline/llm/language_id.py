@@ -186,3 +186,20 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows that the model does not reject, all columns as they are; a null lang is filled with the prediction."""
+    handle = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index("lang") if "lang" in documents.columns else None
+
+    def run(batches):
+        known: Model = handle.value
+        for batch in text_blocks(batches):
+            found = [known.predict(t) for t in batch.column("text").to_pylist()]
+            if place is not None:
+                lang = pa.array([own if own is not None else x[0] for own, x in zip(batch.column(place).to_pylist(), found, strict=True)], batch.schema.field(place).type)
+                batch = batch.set_column(place, batch.schema.field(place), lang)
+            yield batch.filter(pa.array([not x[2] for x in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -330,20 +330,19 @@ def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def jaccard_components(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, rows: int = ISLAND_ROWS, shingles: int = ISLAND_SHINGLES) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
+def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, shingles: int) -> DataFrame:
+    """Per document row: doc_id, th (hash of the text), n (shingles), own and first: the places of the row and of its component's first row.
 
-    A null or wordless text has an empty set and is linked with nothing. Repeated rows are copies of each other. A
-    null doc_id takes part like any other, but is never the smallest; a component of nulls alone has a null id.
-    Further columns are ignored; an empty table gives an empty result.
+    A place is struct(doc_id is null, doc_id, th); documents without shingles are their own component.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
 
     def profile(batches):
         for batch in text_blocks(batches):
             n, one, two = prints(shingle_sets(as_bytes(batch.column("text")), size))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), _signed(one), _signed(two)], ["doc_id", "n", "one", "two"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), _signed(one), _signed(two)], ["doc_id", "th", "n", "one", "two"])
 
     def to_cells(batches):
         for batch in text_blocks(batches):
@@ -359,27 +358,56 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, num: int = NUM
             _, one, two = prints(sets)
             yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array([s.tobytes() for s in sets], pa.binary())], ["one", "two", "shingles"])
 
-    known = materialise(docs.mapInArrow(profile, f"doc_id {kind}, n long, one long, two long"), "profiles")
-    sets = known.where("n > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    known = materialise(docs.mapInArrow(profile, f"doc_id {kind}, th long, n long, one long, two long"), "profiles")
+    sets = known.where("n > 0").groupBy("one", "two").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = materialise(sets, "sets")
 
-    placed = materialise(docs.mapInArrow(to_cells, "cell long, one long"), "cells")
+    placed = materialise(docs.select("text").mapInArrow(to_cells, "cell long, one long"), "cells")
     shared = placed.groupBy("cell").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high")
     chained = placed.join(shared, "cell").where("one <> low").select(F.col("one").alias("a"), F.col("low").alias("b")).distinct()
     islands = materialise(components(materialise(chained, "chained")), "islands")
 
     # the shingles of one document for each set that has company
-    wanted = materialise(sets.join(_maybe_broadcast(islands), F.col("one") == F.col("node")).select("one", "two", "rep", F.col("root").cast("string").alias("region")), "wanted")
+    wanted = sets.join(_maybe_broadcast(islands), F.col("one") == F.col("node"))
+    wanted = materialise(wanted.select("one", "two", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"), F.col("root").cast("string").alias("region")), "wanted")
     side = _maybe_broadcast(wanted)
-    texts = docs.join(side.select("rep").distinct() if side is wanted else F.broadcast(wanted.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    points = texts.mapInArrow(to_points, "one long, two long, shingles binary").join(side, ["one", "two"])
+    texts = docs.join(side.select("d", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("text")
+    points = texts.mapInArrow(to_points, "one long, two long, shingles binary").join(side.select("one", "two", "region"), ["one", "two"])
     points = points.select("region", F.format_string("%016x%016x", "one", "two").alias("id"), "shingles").dropDuplicates(["id"])
     links = materialise(metric_links(materialise(points, "points"), num, den, rows, shingles), "links")
 
-    joined = components(links)
-    named = sets.withColumn("id", F.format_string("%016x%016x", "one", "two")).join(_maybe_broadcast(materialise(joined, "joined")), F.col("id") == F.col("node"), "left")
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("component"))
-    smallest = _maybe_broadcast(materialise(smallest.withColumnRenamed("root", "r"), "smallest"))
-    labels = named.where("root is not null or copies > 1").join(smallest, F.col("root") == F.col("r"), "left").select("one", "two", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component")).alias("component"), F.lit(True).alias("labelled"))
+    joined = materialise(components(links), "joined")
+    named = sets.withColumn("id", F.format_string("%016x%016x", "one", "two")).join(_maybe_broadcast(joined), F.col("id") == F.col("node"), "left")
+    smallest = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component"))
+    smallest = _maybe_broadcast(materialise(smallest, "smallest"))
+    labels = named.where("root is not null or copies > 1").join(smallest, F.col("root") == F.col("r"), "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
     labels = _maybe_broadcast(materialise(labels, "labels"))
-    return known.join(labels, ["one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("labelled") & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = known.join(labels, ["one", "two"], "left")
+    return found.select("doc_id", "th", "n", place.alias("own"), F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(place).alias("first"))
+
+
+def jaccard_components(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, rows: int = ISLAND_ROWS, shingles: int = ISLAND_SHINGLES) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
+
+    A null or wordless text has an empty set and is linked with nothing. Repeated rows are copies of each other. A
+    null doc_id takes part like any other, but is never the smallest; a component of nulls alone has a null id.
+    Further columns are ignored; an empty table gives an empty result.
+    """
+    found = _labelled(documents, size, num, den, rows, shingles)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row of each component, all columns as they are: that of the least (doc_id, hash of the text), null ids last.
+
+    Rows alike in doc_id and text are one document, of which any one row stays; documents without words stay all.
+    """
+    found = materialise(_labelled(documents, size, num, den, ISLAND_ROWS, ISLAND_SHINGLES), "labelled")
+    gone = materialise(found.where("own <> first").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "gone")
+    again = materialise(found.where("n > 0 and own = first").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    kept = documents.join(_maybe_broadcast(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept
+    again = _maybe_broadcast(again)
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
