@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import text_blocks
 
 #: Distinct whitespace chunks that a worker remembers before it starts afresh.
-CACHE = 1 << 17
+CACHE = 1 << 18
 #: Characters of a pre-token up to which it is encoded at once.
 CHUNK = 4096
 
@@ -53,6 +53,8 @@ class Bpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ids = self.vocab
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.rank = {pair: rank for pair, (rank, _) in self.ranks.items()}
+        self.made_by, self.never = [ids[a + b] for a, b in merges], len(merges)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.pieces = {i: s for s, i in [*self.vocab.items(), *self.added.items()]}
         self.joined = " " if not spec.get("decoder") else ""
@@ -63,6 +65,7 @@ class Bpe:
         self.steps = self._text_rules(spec)
         self.lookahead = self._sufficient_lookahead()
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.piece_cache: dict[str, list[int]] = {}
 
     def _text_rules(self, spec: dict) -> regex.Pattern:
         """Checks that the file asks for the rules known here and returns its pre-token pattern."""
@@ -89,16 +92,20 @@ class Bpe:
         ranks = self.ranks
         if n < 2:
             return ids
-        if n <= 24:
-            while len(ids) > 1:
-                low, where, made = None, -1, -1
-                for i in range(len(ids) - 1):
-                    rule = ranks.get((ids[i], ids[i + 1]))
-                    if rule is not None and (low is None or rule[0] < low):
-                        low, where, made = rule[0], i, rule[1]
-                if low is None:
+        if n <= 64:
+            rank, made_by, never = self.rank.get, self.made_by, self.never
+            wait = [rank(pair, never) for pair in zip(ids, ids[1:], strict=False)]
+            while wait:
+                low = min(wait)
+                if low == never:
                     break
-                ids[where : where + 2] = [made]
+                i = wait.index(low)
+                made = ids[i] = made_by[low]
+                del ids[i + 1], wait[i]
+                if i:
+                    wait[i - 1] = rank((ids[i - 1], made), never)
+                if i < len(wait):
+                    wait[i] = rank((made, ids[i + 1]), never)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rule[0], i, ids[i], ids[i + 1], rule[1]) for i in range(n - 1) if (rule := ranks.get((ids[i], ids[i + 1])))]
@@ -142,8 +149,16 @@ class Bpe:
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         """Ids (joined by spaces), their number and their surfaces, for text without white space."""
         out: list[int] = []
+        known = self.piece_cache
         for piece in self.steps.findall(chunk):
-            out.extend(self.encode_piece(piece.encode()))
+            found = known.get(piece)
+            if found is None:
+                found = list(self.encode_piece(piece.encode()))
+                if len(piece) <= 64:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[piece] = found
+            out += found
         pieces = self.pieces
         return " ".join(map(str, out)), len(out), self.joined.join([pieces[i] for i in out])
 
@@ -163,12 +178,15 @@ class Bpe:
             part = text[start:end]
             if not part.isascii() and not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
-            for chunk in self.chunks.split(part.replace("Σ", "σ").lower()):
+            part = part.replace("Σ", "σ").lower()
+            # str.split also takes four control characters for white space, which the rules don't
+            for chunk in self.chunks.split(part) if self.controls.search(part) else part.split():
                 if chunk:
                     yield chunk, False
 
     #: White space of the file's rules; any of it ends a pre-token.
     chunks = regex.compile(r"\s+")
+    controls = re.compile("[\x1c-\x1f]")
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
