@@ -108,8 +108,9 @@ _PLUS = {"plus", "dot", "point", "punkt", "punto"}
 #: A run of spelled (or written) digits, with at least seven spelled ones in all, is a disguise.
 _DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NUMBER})(?:[\s,.-]{{1,3}}(?:{_NUMBER}|dot|point|punkt|punto|[0-9]+))+(?!\w)")
 _TOKEN = re.compile(r"\w+|[^\w]+")
-_BRACKETED_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|arroba|ät|@)\s*[\])}>]\s*")
-_BRACKETED_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*")
+# a run of white space is tried from its start only, so long runs stay linear
+_BRACKETED_AT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:at|arroba|ät|@)\s*+[\])}>]\s*+")
+_BRACKETED_DOT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]\s*+")
 #: local AT domain DOT suffix, all spelled with spaces.
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})(\s+at\s+)([A-Za-z0-9-]{1,63})((?:\s+dot\s+[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9-])")
 _HALF_SPOKEN = re.compile(r"(?i)(?<=[A-Za-z0-9])@[A-Za-z0-9-]{1,63}((?:\s+dot\s+[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9-])")
