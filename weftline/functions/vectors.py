@@ -28,6 +28,6 @@ def unit(a: Column) -> Column:
 
 def hashed_embedding(tokens: Column, dimensions: int = 64) -> Column:
     """A deterministic stand-in for a model: signed token hashes counted into buckets, normalised."""
-    hashes = F.transform(tokens, F.xxhash64)
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(h > 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
     return unit(counts)

@@ -18,7 +18,7 @@ USAGE = "timestamp long, tokensUsed long, tokensSaved long, model string, search
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """One row per task of a JSON dataset; no tasks, or one without id, query or truth, is an error."""
     text = F.regexp_replace("value", "^\\uFEFF", "")
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json(text, DATASET).alias("d")).select("d.*", F.posexplode_outer("d.tasks").alias("pos", "task"))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json(text, DATASET).alias("d")).select("d.*", F.posexplode_outer("d.tasks").alias("pos", "task"))
     bad = rows.where("task is null or coalesce(task.id, '') = '' or coalesce(task.query, '') = '' or coalesce(size(task.groundTruth), 0) < 1")
     if not bad.isEmpty():
         raise ValueError(f"{path}: every dataset needs tasks, and every task an id, a query and a ground truth")
@@ -55,7 +55,7 @@ def read_rules(spark: SparkSession, paths: list[str], default: str) -> str:
 
     for path in paths:
         try:
-            rows = spark.read.option("wholetext", True).text(path).select(F.lit(1).alias("rules_id"), F.col("value").alias("raw"))
+            rows = spark.read.text(path, wholetext=True).select(F.lit(1).alias("rules_id"), F.col("value").alias("raw"))
             if validated_rules(rows).where("error is null").count() == 1:
                 return rows.first()["raw"].strip()
         except AnalysisException:

@@ -14,7 +14,7 @@ IGNORED = ("node_modules", ".git", "dist", "build", ".next", "coverage", ".codef
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """files(path, language, content, digest, n_lines) below root: known extensions, no hidden names, no ignored folders."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
     start = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), r"^.*?" + "\\Q" + start + "\\E/", "")
     rows = raw.select(path.alias("path"), "content").withColumn("language", T.language_of(F.col("path")))
