@@ -16,9 +16,6 @@ BATCH_BYTES = 8 << 20
 
 _TO_SPACE = bytes(0x20 if b in SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Odd, hence invertible modulo 2**64.
-_BASE = 0xD6E8FEB86659FD93
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,21 +69,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        n = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-            up[1:], down[1:] = np.uint64(_BASE), np.uint64(_BASE_INV)
-            _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS["up"], _POWERS["down"]
-
-
-_BYTE_CODES = mix(np.arange(256, dtype=np.uint64), 7)
+#: Masks that keep the first 0..8 bytes of a little-endian word.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,23 +78,24 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     A null text has no words. Hashes are of the words' bytes alone, so they agree between processes.
     """
-    flat = b"\x20".join((t or b"") for t in texts).translate(_TO_SPACE)
-    counts = np.zeros(len(texts), np.int64)
-    if not flat.strip():
-        return np.zeros(0, np.uint64), counts
-    buf = np.frombuffer(b"\x20" + flat + b"\x20", np.uint8)
+    flat = b"\x20".join([b"", *((t or b"") for t in texts), b"\x20" * 8]).translate(_TO_SPACE)
+    buf = np.frombuffer(flat, np.uint8)
     is_word = buf != 0x20
     edges = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
     starts, ends = edges[0::2], edges[1::2]
-    up, down = _powers(len(buf) + 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    view = np.ndarray((len(flat) - 7,), "<u8", flat, 0, (1,))
+    sizes = ends - starts
     with np.errstate(over="ignore"):
-        sums = np.empty(len(buf) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_CODES[buf] * up[: len(buf)], out=sums[1:])
-        out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
-    lengths = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
-    text_ends = np.cumsum(lengths + 1)
-    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, text_ends, "right")]))
+        out = mix((view[starts] & _MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _MULT)
+        more, at = np.flatnonzero(sizes > 8), 8
+        while len(more):
+            out[more] = mix(out[more] * _MULT + (view[starts[more] + at] & _MASKS[np.minimum(sizes[more] - at, 8)]))
+            at += 8
+            more = more[sizes[more] > at]
+    lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, np.cumsum(lengths + 1), "right")]))
     return out, counts
 
 

@@ -32,14 +32,53 @@ NUM, DEN, LEAST_WORDS = 80, 100, 5
 TABLE, TASK_TABLE = 1 << 17, 1 << 16
 #: Occurrences in the corpus from which a token has no region; rows of a region that a task holds at once.
 HOT, REGION = 1 << 14, 1 << 14
+#: Bytes of text whose lines a task sorts at once; their arrays take some thirty times that.
+BLOCK = 2 << 20
 #: Lines of an island that one task compares.
 ISLAND = 1024
 
 
+class Ranks:
+    """Ranks of the frequent tokens by count, in an open-addressed table of eight times their number."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.order = np.lexsort((words, counts))
+        self.bits = max(4, (8 * len(words) - 1).bit_length()) if len(words) else 4
+        self.slot_word, self.slot_rank = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+        self.probes = 1
+        left, rank, at = words[self.order], np.arange(len(words)), None
+        at = (left >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.slot_rank[at] < 0
+            _, first = np.unique(at, return_index=True)
+            take = np.zeros(len(left), bool)
+            take[first] = True
+            take &= free
+            self.slot_word[at[take]], self.slot_rank[at[take]] = left[take], rank[take]
+            left, rank, at = left[~take], rank[~take], (at[~take] + 1) & ((1 << self.bits) - 1)
+            self.probes += bool(len(left))
+
+    def keys(self, words: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The keys, with those of frequent tokens replaced: above all others, by rank, then hash."""
+        key = key.copy()
+        todo = np.arange(len(words))
+        at = (words >> np.uint64(64 - self.bits)).astype(np.int64)
+        for _ in range(self.probes):
+            rank = self.slot_rank[at]
+            hit = (rank >= 0) & (self.slot_word[at] == words[todo])
+            found = todo[hit]
+            key[found] = np.uint64(1 << 63) | (rank[hit].astype(np.uint64) << np.uint64(45)) | (words[found] >> np.uint64(19))
+            going = ~hit & (rank >= 0)
+            todo, at = todo[going], (at[going] + 1) & ((1 << self.bits) - 1)
+            if not len(todo):
+                break
+        return key
+
+
 class Lines:
     """The lines of a block of texts that take part, with their ordered distinct tokens."""
 
-    def __init__(self, texts: list[bytes | None], least: int, table: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, texts: list[bytes | None], least: int, table: Ranks | None = None):
         lines, owner, number = [], [], []
         for i, t in enumerate(texts):
             if t:
@@ -51,13 +90,16 @@ class Lines:
         line = np.repeat(np.arange(len(lines)), counts)
         some = (counts >= least)[line]
         words, line = words[some], line[some]
-        known = None
         key = words >> np.uint64(1)  # tokens outside the table come first, by hash
-        if table is not None and len(table[0]):
-            at = np.minimum(np.searchsorted(table[0], words), len(table[0]) - 1)
-            known = table[0][at] == words
-            key = np.where(known, np.uint64(1 << 63) + table[1][at].astype(np.uint64), key)
-        order = np.lexsort((words, key, line))
+        if table is not None:
+            key = table.keys(words, key)
+        # one sort by line and leading bits of the key; only if those bits tie unequal words, a full one
+        bits = np.uint64(max(1, len(lines).bit_length()))
+        joint = (line.astype(np.uint64) << (np.uint64(64) - bits)) | (key >> bits)
+        order = np.argsort(joint)
+        joint = joint[order]
+        if np.any((joint[1:] == joint[:-1]) & (words[order[1:]] != words[order[:-1]])):
+            order = np.lexsort((words, key, line))
         words, line, key = words[order], line[order], key[order]
         first = np.ones(len(words), bool)
         first[1:] = (line[1:] != line[:-1]) | (words[1:] != words[:-1])
@@ -73,9 +115,23 @@ class Lines:
             seed = self.sizes.astype(np.uint64)
             return tuple(mix(np.add.reduceat(mix(self.words, k), self.at) + seed, k + 2) for k in (21, 22))
 
-    def bitmaps(self) -> np.ndarray:
-        """Parity of the tokens of each of 64 hash classes."""
-        return np.bitwise_xor.reduceat(np.uint64(1) << (mix(self.words, 25) >> np.uint64(58)), self.at)
+    def bitmaps(self) -> list[np.ndarray]:
+        """Parity of the tokens of each of 256 hash classes, folded to 64 classes for lines of at most 48 tokens and to 128 for at most 128."""
+        place = mix(self.words, 25) >> np.uint64(56)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        out = [np.bitwise_xor.reduceat(bit, self.at), *(np.zeros(len(self.at), np.uint64) for _ in range(3))]
+        long = np.flatnonzero(self.sizes > 48)
+        if len(long):
+            some = (self.sizes > 48)[self.row]
+            part, bit = (place[some] >> np.uint64(6)).astype(np.int64), bit[some]
+            at = np.concatenate([[0], np.cumsum(self.sizes[long])[:-1]])
+            parts = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), at) for k in range(4)]
+            folded = self.sizes[long] <= 128
+            out[0][long] = np.where(folded, parts[0] ^ parts[2], parts[0])
+            out[1][long] = np.where(folded, parts[1] ^ parts[3], parts[1])
+            for k in (2, 3):
+                out[k][long] = np.where(folded, np.uint64(0), parts[k])
+        return out
 
     def sets(self, some) -> list[np.ndarray]:
         return [np.sort(self.words[self.at[i] : self.at[i] + self.sizes[i]]) for i in some]
@@ -100,7 +156,7 @@ def frequent_tokens(docs: DataFrame, least: int, size: int = TABLE) -> tuple[np.
             best = np.argsort(-sums, kind="stable")[:keep]
             return distinct[best], sums[best]
 
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=BLOCK):
             words, _ = word_hashes(as_bytes(batch.column("text")))
             held.append(np.unique(words, return_counts=True))
             total += len(held[-1][0])
@@ -118,19 +174,41 @@ def frequent_tokens(docs: DataFrame, least: int, size: int = TABLE) -> tuple[np.
     return words[order], counts[order]
 
 
-def _entries(table, least: int, num: int, den: int, hot: int):
-    """Prefix entries of each line: token (or, with size 0, cell), set, size, position, bitmap."""
+#: Tokens of a line beyond which it meets others in cells only; its bitmap would say little.
+LONG = 256
+#: 64-bit fields of a row's payload: set, size + 1 and position, four of the bitmap.
+FIELDS = 6
+
+
+def _rows(token: np.ndarray, one: np.ndarray, n: np.ndarray, place: np.ndarray, rest: list[np.ndarray], doc_id: pa.Array) -> pa.RecordBatch:
+    """Rows of the regions' exchange: a token to deal and sort by, a payload of fixed width, and the document of a line."""
+    payload = np.zeros((len(token), FIELDS), np.uint64)
+    payload[:, 0], payload[:, 1] = one, ((n + 1).astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
+    for k, x in enumerate(rest):
+        payload[:, 2 + k] = x
+    offsets = np.arange(len(token) + 1, dtype=np.int32) * (8 * FIELDS)
+    binary = pa.Array.from_buffers(pa.binary(), len(token), [None, pa.py_buffer(offsets), pa.py_buffer(payload)])
+    return pa.RecordBatch.from_arrays([_signed(token), binary, doc_id], ["token", "payload", "doc_id"])
+
+
+def _fields(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column("payload")
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.uint64).reshape(-1, FIELDS)
+
+
+def _entries(table: tuple[np.ndarray, np.ndarray], least: int, num: int, den: int, hot: int):
+    """Rows for the regions: prefix entries (token, set, size, position, bitmap), cells (size 0), and the lines themselves (size -1)."""
     words, counts = table
-    rank = np.empty(len(words), np.int64)
-    rank[np.lexsort((words, counts))] = np.arange(len(words))
-    barred = np.sort(rank[counts > hot])
+    ranks = Ranks(words, counts)
+    barred = int(np.searchsorted(counts[ranks.order], hot, "right"))
 
     def run(batches):
-        for batch in text_blocks(batches):
-            found = Lines(as_bytes(batch.column("text")), least, (words, rank))
+        for batch in text_blocks(batches, limit=BLOCK):
+            found = Lines(as_bytes(batch.column("text")), least, ranks)
             if not len(found.ids):
                 continue
-            one, _ = found.prints()
+            one, two = found.prints()
             _, keep = np.unique(one, return_index=True)
             once = np.zeros(len(one), bool)
             once[keep] = True
@@ -138,26 +216,35 @@ def _entries(table, least: int, num: int, den: int, hot: int):
             prefix = found.sizes - -(-num * found.sizes // den) + 1
             some = (place < prefix[found.row]) & once[found.row]
             row, place, word, key = found.row[some], place[some], found.words[some], found.key[some]
-            cell = np.zeros(len(row), bool)
-            if len(barred):
-                cell = key >= np.uint64((1 << 63) + int(barred[0]))  # ranks grow with counts
-            bitmap = found.bitmaps()
-            slow = np.unique(row[cell])
-            row, place, word = row[~cell], place[~cell], word[~cell]
-            columns = [word, one[row], found.sizes[row].astype(np.int32), place.astype(np.int32), bitmap[row]]
-            if len(slow):  # a cell's rows have size 0
+            cell = key >= np.uint64((1 << 63) + (barred << 45)) if barred < len(words) else np.zeros(len(row), bool)
+            slow = np.zeros(len(one), bool)
+            slow[row[cell]] = True
+            # a line that goes by cells only may match a somewhat shorter one, which must be there too
+            slow |= once & (found.sizes * den >= num * LONG)
+            near = ~cell & (found.sizes[row] <= LONG)
+            row, place, word = row[near], place[near], word[near]
+            columns = [word, one[row], found.sizes[row], place, *(x[row] for x in found.bitmaps())]
+            if slow.any():
+                slow = np.flatnonzero(slow)
                 at, key = cells(found.sets(slow), num, den)
-                zero = np.zeros(len(at), np.int32)
-                columns = [np.concatenate(x) for x in zip(columns, [key, one[slow[at]], zero, zero, np.zeros(len(at), np.uint64)], strict=True)]
-            for k in range(0, len(columns[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 18)].view(np.int64) if c.dtype == np.uint64 else c[k : k + (1 << 18)]) for c in columns], ["token", "one", "n", "place", "bits"])
+                zero, none = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+                columns = [np.concatenate(x) for x in zip(columns, [key, one[slow[at]], zero, zero, none, none, none, none], strict=True)]
+            kind = batch.schema.field("doc_id").type
+            for k in range(0, len(columns[0]), 1 << 17):
+                token, one_, n, place, *bits = (c[k : k + (1 << 17)] for c in columns)
+                yield _rows(token, one_, n, place, bits, pa.nulls(len(token), kind))
+            owner = pa.array(found.owner)
+            th = np.asarray(batch.column("th").take(owner)).view(np.uint64)
+            spread = mix(one ^ mix(th, 31))  # a frequent line's rows go everywhere
+            yield _rows(spread, one, np.full(len(one), -1), found.number, [two, th], batch.column("doc_id").take(owner))
 
     return run
 
 
-def _region_pairs(token, one, n, place, bits, num: int, den: int):
+def _region_pairs(token, one, n, place, bits: list[np.ndarray], num: int, den: int):
     """Pairs of rows (sorted by token and size) that pass the length, positional and bitmap filters, and differ."""
     a_out, b_out = [], []
+    whole = np.zeros(0, np.uint64)
     active = np.arange(len(token))
     lag = 0
     while True:
@@ -173,9 +260,21 @@ def _region_pairs(token, one, n, place, bits, num: int, den: int):
         need = -(-num * total // (num + den))
         fine = 1 + np.minimum(n[active] - place[active], n[other] - place[other]) - 1 >= need
         i, j, slack = active[fine], other[fine], (total - 2 * need)[fine]
-        fine = (np.bitwise_count(bits[i] ^ bits[j]) <= slack) & (one[i] != one[j])
-        a_out.append(i[fine])
-        b_out.append(j[fine])
+        # bitmaps are compared folded as far as the shorter line's; each folding bounds the difference from below
+        if not len(whole):
+            whole = bits[0] ^ bits[1] ^ bits[2] ^ bits[3]
+        narrow = np.minimum(n[i], n[j]) <= 48
+        fine = one[i] != one[j]
+        fine &= np.bitwise_count(whole[i] ^ whole[j]) <= slack
+        i, j, slack, narrow = i[fine], j[fine], slack[fine], narrow[fine]
+        if len(i):
+            x, y = bits[0][i] ^ bits[2][i] ^ bits[0][j] ^ bits[2][j], bits[1][i] ^ bits[3][i] ^ bits[1][j] ^ bits[3][j]
+            fine = narrow | (np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= slack)
+            i, j, slack = i[fine], j[fine], slack[fine]
+            wide = np.minimum(n[i], n[j]) > 128
+            fine = ~wide | (sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits) <= slack)
+            a_out.append(i[fine])
+            b_out.append(j[fine])
     return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.zeros(0, np.int64),) * 2
 
 
@@ -200,62 +299,77 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _regions(num: int, den: int, limit: int):
-    """Rows sorted by token and size; whole regions are joined, rows of too large ones are passed on (b is null)."""
-    names = ["token", "one", "n", "place", "bits"]
-
-    def join(parts):
-        token, one, n, place, bits = parts
-        a, b = _region_pairs(token, one.view(np.uint64), n.astype(np.int64), place.astype(np.int64), bits.view(np.uint64), num, den)
-        a, b = _forest(one[a], one[b])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    """Rows sorted by token; whole regions are joined, rows of too large ones are passed on (b is null), lines pass through (line is not null)."""
+
+    def out(a, b, kind, doc_id=None, th=None, line=None):
+        n = len(a)
+        signed = lambda x, of=pa.int64(): pa.nulls(n, of) if x is None else pa.array(x.view(np.int64)) if isinstance(x, np.ndarray) and x.dtype == np.uint64 else pa.array(x, of)
+        return pa.RecordBatch.from_arrays([signed(a), signed(b), pa.nulls(n, kind) if doc_id is None else doc_id, signed(th), signed(line, pa.int32())], ["a", "b", "doc_id", "th", "line"])
+
+    def distinct(token, rows):
+        """Sorted by token, size and set, each set once."""
+        order = np.lexsort((rows[:, 0], rows[:, 1] >> np.uint64(32), token))
+        token, rows = token[order], rows[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (rows[1:, 0] != rows[:-1, 0]) | ((rows[1:, 1] ^ rows[:-1, 1]) >> np.uint64(32) != 0)
+        return token[new], rows[new]
+
+    def join(token, rows, kind):
+        token, rows = distinct(token, rows)
+        size = (rows[:, 1] >> np.uint64(32)).astype(np.int64) - 1
+        zero = size == 0
+        a, b = [], []
+        if zero.any():  # a cell's sets are tied to its first one
+            key, one = token[zero], rows[zero, 0]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            first = one[head][np.cumsum(head) - 1]
+            a, b = [one[first != one]], [first[first != one]]
+            token, rows, size = token[~zero], rows[~zero], size[~zero]
+        place = (rows[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        x, y = _region_pairs(token, rows[:, 0], size, place, [np.ascontiguousarray(rows[:, 2 + k]) for k in range(4)], num, den)
+        x, y = _forest(rows[x, 0], rows[y, 0])
+        return out(np.concatenate([*a, x]), np.concatenate([*b, y]), kind)
 
     def run(batches):
-        held = None
-        over = None  # a region known to be too large
-        cell = (None, None)  # the current cell and its first set
-        last = None  # token and set of the last row
+        token, rows = np.zeros(0, np.int64), np.zeros((0, FIELDS), np.uint64)
+        over = kind = None  # over: a region known to be too large
         for batch in batches:
-            now = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in names]
-            new = np.ones(len(now[0]), bool)
-            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])
-            if len(new) and last == (now[0][0], now[1][0], now[2][0]):
-                new[0] = False
-            if len(new):
-                last = (now[0][-1], now[1][-1], now[2][-1])
-            now = [x[new] for x in now]
-            zero = now[2] == 0
-            if zero.any():  # a cell's sets are tied to its first one
-                key, one = now[0][zero], now[1][zero]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                first = one[head][np.cumsum(head) - 1]
-                if key[0] == cell[0]:
-                    first[key == key[0]] = cell[1]
-                cell = (key[-1], first[-1])
-                tied = first != one
-                yield pa.RecordBatch.from_arrays([pa.array(one[tied]), pa.array(first[tied])], ["a", "b"])
-                now = [x[~zero] for x in now]
-            if over is not None and len(now[0]):
-                same = now[0] == over
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field("doc_id").type
+            now, fields = np.asarray(batch.column("token")), _fields(batch)
+            line = fields[:, 1] >> np.uint64(32) == 0
+            if line.any():  # the lines themselves pass through
+                own = fields[line]
+                yield out(own[:, 0].copy(), own[:, 2].copy(), kind, batch.column("doc_id").filter(pa.array(line)), own[:, 3].copy(), own[:, 1].astype(np.int32))
+                now, fields = now[~line], fields[~line]
+            if over is not None and len(now):
+                same = now == over
                 if same.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(now[1][same]), pa.nulls(int(same.sum()), pa.int64())], ["a", "b"])
-                    now = [x[~same] for x in now]
-                if len(now[0]):
+                    yield out(fields[same, 0], None, kind)
+                    now, fields = now[~same], fields[~same]
+                if len(now):
                     over = None
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(held[0]):
+            token, rows = np.concatenate([token, now]), np.concatenate([rows, fields])
+            if not len(token):
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last region may go on
-            if cut >= 1 << 16 or cut and len(held[0]) - cut > limit:
-                yield join([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
+            cut = int(np.searchsorted(token, token[-1]))  # the last region may go on
+            if cut >= 1 << 16 or cut and len(token) - cut > limit:
+                yield join(token[:cut], rows[:cut], kind)
+                token, rows = token[cut:], rows[cut:]
                 cut = 0
-            if not cut and len(held[0]) > limit:
-                over = held[0][0]
-                yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.nulls(len(held[1]), pa.int64())], ["a", "b"])
-                held = None
-        if held is not None and len(held[0]):
-            yield join(held)
+            if not cut and len(token) > limit:
+                token, rows = distinct(token, rows)
+                if len(token) > limit and rows[0, 1] >> np.uint64(32) == 1:  # a cell: its first set stands for what was seen
+                    yield join(token, rows, kind)
+                    token, rows = token[:1], rows[:1]
+                elif len(token) > limit:
+                    over = token[0]
+                    yield out(rows[:, 0], None, kind)
+                    token, rows = token[:0], rows[:0]
+        if len(token):
+            yield join(token, rows, kind)
 
     return run
 
@@ -333,30 +447,24 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
     table = frequent_tokens(docs, least)
     handle = documents.sparkSession.sparkContext.broadcast(table)
 
-    def to_lines(batches):
-        for batch in text_blocks(batches):
-            found = Lines(as_bytes(batch.column("text")), least)
-            one, two = found.prints()
-            owner = pa.array(found.owner)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("th").take(owner), pa.array(found.number.astype(np.int32)), _signed(one), _signed(two)], ["doc_id", "th", "line", "one", "two"])
-
     def to_entries(batches):
         yield from _entries(handle.value, least, num, den, hot)(batches)
 
-    lines = materialise(docs.mapInArrow(to_lines, f"doc_id {kind}, th long, line int, one long, two long"), "lines")
+    # one pass over the texts and one exchange: regions are joined on the other side, lines pass through
+    entries = docs.mapInArrow(to_entries, f"token long, payload binary, doc_id {kind}")
+    near = entries.repartition("token").sortWithinPartitions("token")
+    found = materialise(near.mapInArrow(_regions(num, den, region), f"a long, b long, doc_id {kind}, th long, line int"), "line-regions")
+    lines = found.where("line is not null").select("doc_id", "th", "line", F.col("a").alias("one"), F.col("b").alias("two"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     sets = materialise(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-sets")
-
-    entries = docs.mapInArrow(to_entries, "token long, one long, n int, place int, bits long")
-    near = entries.repartition("token").sortWithinPartitions("token", "n", "one")
-    pairs = materialise(near.mapInArrow(_regions(num, den, region), "a long, b long").distinct(), "line-pairs")
+    pairs = materialise(found.where("line is null").select("a", "b").distinct(), "line-pairs")
     links = pairs.where("b is not null")
     over = pairs.where("b is null")
     if not over.isEmpty():  # regions beyond a task's memory: their lines meet in cells
         wanted = over.select(F.col("a").alias("one")).distinct()
 
         def to_cells(batches):
-            for batch in text_blocks(batches):
+            for batch in text_blocks(batches, limit=BLOCK):
                 found = Lines(as_bytes(batch.column("text")), least)
                 if len(found.ids):
                     at, keys = cells(found.sets(range(len(found.ids))), num, den)
@@ -372,7 +480,7 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
     company = materialise(company.select(F.col("root").alias("region"), "one", "two", "first.doc_id", "first.th", "first.line", "first"), "company")
 
     def to_tokens(batches):
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=BLOCK):
             found = Lines(as_bytes(batch.column("text")), least)
             wanted = [set(x) for x in batch.column("wanted").to_pylist()]
             some = [i for i in range(len(found.ids)) if int(found.number[i]) in wanted[int(found.owner[i])]]
