@@ -197,6 +197,42 @@ def _fields(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.uint64).reshape(-1, FIELDS)
 
 
+#: Lines up to this many tokens differ from a match by two tokens at most, so common subsets name their cells; classes would hold one or two tokens.
+SHORT = 13
+
+
+def _subset_cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of short sets: a set and what is left of it without one or two tokens. Two matching sets meet in their intersection."""
+    rows, keys = [], []
+    with np.errstate(over="ignore"):
+        for i, s in enumerate(sets):
+            n = len(s)
+            most = (n + n * den // num) * (den - num) // (den + num)
+            content = mix(s, 33)
+            total = np.sum(content)
+            left = [np.array([total + np.uint64(n)], np.uint64)]
+            if most >= 1:
+                left.append(total - content + np.uint64(n - 1))
+            if most >= 2:
+                a, b = np.triu_indices(n, 1)
+                left.append(total - content[a] - content[b] + np.uint64(n - 2))
+            found = mix(np.concatenate(left), 34)
+            rows.append(np.full(len(found), i))
+            keys.append(found)
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _cells(found: Lines, some: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, cell) of lines that go by cells: short ones by subsets, longer ones by classes, those near the border by both."""
+    sizes = found.sizes[some]
+    two = 2 * SHORT * (den - num) // (den + num) <= 2  # else subsets of two deletions don't suffice
+    short = some[(sizes <= SHORT) & two]
+    long = some[(sizes * den >= num * (SHORT + 1)) | (not two)]
+    a, x = _subset_cells(found.sets(short), num, den)
+    b, y = cells(found.sets(long), num, den)
+    return np.concatenate([short[a], long[b]]), np.concatenate([x, y])
+
+
 def _entries(table: tuple[np.ndarray, np.ndarray], least: int, num: int, den: int, hot: int):
     """Rows for the regions: prefix entries (token, set, size, position, bitmap), cells (size 0), and the lines themselves (size -1)."""
     words, counts = table
@@ -226,9 +262,9 @@ def _entries(table: tuple[np.ndarray, np.ndarray], least: int, num: int, den: in
             columns = [word, one[row], found.sizes[row], place, *(x[row] for x in found.bitmaps())]
             if slow.any():
                 slow = np.flatnonzero(slow)
-                at, key = cells(found.sets(slow), num, den)
+                at, key = _cells(found, slow, num, den)
                 zero, none = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
-                columns = [np.concatenate(x) for x in zip(columns, [key, one[slow[at]], zero, zero, none, none, none, none], strict=True)]
+                columns = [np.concatenate(x) for x in zip(columns, [key, one[at], zero, zero, none, none, none, none], strict=True)]
             kind = batch.schema.field("doc_id").type
             for k in range(0, len(columns[0]), 1 << 17):
                 token, one_, n, place, *bits = (c[k : k + (1 << 17)] for c in columns)
@@ -467,7 +503,7 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
             for batch in text_blocks(batches, limit=BLOCK):
                 found = Lines(as_bytes(batch.column("text")), least)
                 if len(found.ids):
-                    at, keys = cells(found.sets(range(len(found.ids))), num, den)
+                    at, keys = _cells(found, np.arange(len(found.ids)), num, den)
                     yield pa.RecordBatch.from_arrays([_signed(keys), _signed(found.prints()[0][at])], ["cell", "one"])
 
         by_cell = materialise(docs.mapInArrow(to_cells, "cell long, one long").join(wanted, "one", "left_semi").distinct(), "line-cells")
