@@ -139,6 +139,15 @@ def test_cells_share(seed=2):
                     assert set(key[row == 0]) & set(key[row == 1])
 
 
+def test_cells_of_long_sets():
+    """Rows in proportion to the set, and linked sets still meet."""
+    rng = np.random.default_rng(4)
+    x = np.unique(rng.integers(0, 1 << 63, 8000, dtype=np.uint64))
+    y = np.unique(np.concatenate([x[800:], rng.integers(0, 1 << 63, 800, dtype=np.uint64)]))
+    row, key = ngram_join.cells([x, y], 80, 100)
+    assert len(row) < 2 * (len(x) + len(y)) and set(key[row == 0]) & set(key[row == 1])
+
+
 def test_word_hashes():
     texts = [b"A bb  ccc\tlonger-than-eight a\x0bb", None, b"", b"bb a longer-than-eighu", "é É".encode()]
     found, counts = word_hashes(texts)

@@ -67,6 +67,13 @@ def test_pipeline(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in found) == sorted(want)
 
 
+def test_near_duplicates_of_the_contract(spark):
+    """Two words of a hundred replaced: 86 of 106 shingles of five words, 92 of 104 of three."""
+    text = [f"w{k}" for k in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join("x" if k in (30, 60) else w for k, w in enumerate(text)))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [1]
+
+
 def test_stages_keep_columns(spark, tmp_path):
     fixture(spark, str(tmp_path), empty=True)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

@@ -31,6 +31,8 @@ ISLAND_ROWS, ISLAND_SHINGLES = 512, 1 << 19
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
 BRUTE = 16
+#: Classes of a game from which a set with empty ones has a single prefix instead of one a class.
+WIDE = 64
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -119,13 +121,19 @@ def cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.nd
         empty = np.bincount(slot, minlength=at[-1]) == 0
         rows.append(row[~empty])
         keys.append(key[~empty])
-        # two sets may agree on a class by both having nothing in it; such sets meet by a prefix of their shingles instead
-        for j in np.flatnonzero(empty).tolist():
+        # two sets may agree on a class by both having nothing in it; such sets meet by a prefix of their shingles instead:
+        # one prefix a class, but one a set in games of many classes, where both numbers grow with the set
+        bare = np.flatnonzero(empty)
+        wide = bands.classes[game[row[bare]]] >= WIDE
+        _, once = np.unique(row[bare], return_index=True)
+        keep = ~wide
+        keep[once] = True
+        for j, whole in zip(bare[keep].tolist(), wide[keep].tolist(), strict=True):
             i = int(row[j])
             s = sets[i]
             first = np.sort(mix(s, 9))[: len(s) - -(-num * len(s) // den) + 1]
             with np.errstate(over="ignore"):
-                keys.append(mix(first + mix(np.array([(int(number[j]) << 32) + int(game[i])], np.uint64), 10), 11))
+                keys.append(mix(first + mix(np.array([((0xFFFFFFFF if whole else int(number[j])) << 32) + int(game[i])], np.uint64), 10), 11))
             rows.append(np.full(len(first), i))
     return np.concatenate(rows), np.concatenate(keys)
 
