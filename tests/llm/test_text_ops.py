@@ -202,6 +202,18 @@ def test_quality_adapts(spark):
     assert not found[99].base_failed and not found[99].kept and all(found[k].kept for k in (*range(60), 100))
 
 
+def test_quality_spread(spark):
+    """Groups of different spread get different thresholds, though most of their shares are zero."""
+    clean = lambda k: " ".join(rng_word(k, i) for i in range(100))
+    marked = lambda k, n: clean(k) + " " + "#" * n
+    rows = [(k, clean(k), "en", s) for k, s in enumerate(["calm", "wild"] * 60)]
+    rows += [(200 + k, marked(200 + k, 4 + k % 3), "en", "calm") for k in range(30)] + [(300 + k, marked(300 + k, 2 + 2 * (k % 20)), "en", "wild") for k in range(30)]
+    rows += [(400, marked(400, 45), "en", "calm"), (401, marked(401, 45), "en", "wild")]
+    found = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert found[400].max_symbol_share < 0.05 < found[400].symbol_share < found[401].max_symbol_share
+    assert [k for k, r in found.items() if not r.kept] == [400]
+
+
 def rng_word(k, i):
     return hashlib.md5(f"{k}.{i}".encode()).hexdigest()[:5].translate(str.maketrans("0123456789", "ghijklmnop"))
 

@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds; DataFrame functions only.
 
 Each document gets a few text measures. Fixed rules reject the plainly bad. Beyond them, a measure is judged
-against its own language and source: KLL quantile sketches (mergeable, combined on the map side) give the
-quartiles of each group, a Tukey fence above the upper quartile gives the threshold, and documents are filtered
-by a join with the thresholds. Groups too small for quartiles fall back to their language, then to all.
+against its own language and source. Most shares are zero, so quartiles of all of them would say nothing: KLL
+quantile sketches (mergeable, combined on the map side) follow the shares above zero of the documents past the fixed
+rules, a Tukey fence above their upper quartile gives the threshold, at most a ceiling, and documents are filtered by
+a join with the thresholds. Groups with too few shares above zero fall back to their language, then to all.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from weftline.llm.common import materialise
 _BLANKS = "\x20\t\n\x0b\x0c\r"
 #: Measures that the sketches follow: shares of symbols, repeated lines and repeated words.
 ADAPTIVE = ("symbol_share", "line_share", "repeat_share")
-#: A threshold is Q3 + WIDTH * (Q3 - Q1), and at least its floor: a group of spotless texts must not reject a text for one blemish.
+#: A threshold is Q3 + WIDTH * (Q3 - Q1) of the shares above zero, and at most its ceiling: where most of them are junk, a fence lies above the junk.
 WIDTH = 6.0
-FLOORS = {"symbol_share": 0.10, "line_share": 0.30, "repeat_share": 0.30}
-#: Documents that a group needs for thresholds of its own.
-LEAST = 100
+CEILINGS = {"symbol_share": 0.10, "line_share": 0.30, "repeat_share": 0.30}
+#: Shares above zero that a group needs for a threshold of its own.
+LEAST = 20
 
 
 def bound(value: Column, use) -> Column:
@@ -74,22 +75,23 @@ def measure(documents: DataFrame) -> DataFrame:
 
 def thresholds(measured: DataFrame, width: float = WIDTH, least: int = LEAST) -> DataFrame:
     """Per (lang, source) that occurs: lang, source and max_<measure>, from merged quantile sketches."""
-    sketches = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(F.col(c)).alias(c) for c in ADAPTIVE))
+    some = [F.when(F.col(c) > 0, F.col(c)) for c in ADAPTIVE]
+    sketches = measured.groupBy("lang", "source").agg(*(F.count(x).alias(f"n_{c}") for c, x in zip(ADAPTIVE, some, strict=True)), *(F.kll_sketch_agg_double(x).alias(c) for c, x in zip(ADAPTIVE, some, strict=True)))
 
     def fence(c: str) -> Column:
         q1, q3 = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(F.lit(FLOORS[c]), q3 + F.lit(width) * (q3 - q1)).alias(f"max_{c}")
+        return F.when(F.col(f"n_{c}") >= least, F.least(F.lit(CEILINGS[c]), q3 + F.lit(width) * (q3 - q1)))
 
     def merged(*by: str) -> DataFrame:
-        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(c)).alias(c) for c in ADAPTIVE))
+        return sketches.groupBy(*by).agg(*(F.sum(f"n_{c}").alias(f"n_{c}") for c in ADAPTIVE), *(F.kll_merge_agg_double(F.col(c)).alias(c) for c in ADAPTIVE))
 
-    own = sketches.select("lang", "source", "n", *map(fence, ADAPTIVE))
-    lang = merged("lang").select(F.col("lang").alias("l"), F.col("n").alias("n_lang"), *(fence(c).alias(f"lang_{c}") for c in ADAPTIVE))
+    own = sketches.select("lang", "source", *(fence(c).alias(f"own_{c}") for c in ADAPTIVE))
+    lang = merged("lang").select(F.col("lang").alias("l"), *(fence(c).alias(f"lang_{c}") for c in ADAPTIVE))
     whole = merged().select(*(fence(c).alias(f"all_{c}") for c in ADAPTIVE))
     return (
         own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left")
         .join(F.broadcast(whole), F.lit(True), "left")
-        .select("lang", "source", *(F.when(F.col("n") >= least, F.col(f"max_{c}")).when(F.col("n_lang") >= least, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(f"max_{c}") for c in ADAPTIVE))
+        .select("lang", "source", *(F.coalesce(f"own_{c}", f"lang_{c}", f"all_{c}", F.lit(CEILINGS[c])).alias(f"max_{c}") for c in ADAPTIVE))
     )
 
 
@@ -100,8 +102,8 @@ def quality(documents: DataFrame, width: float = WIDTH, least: int = LEAST) -> D
     repeat their result; an empty table gives an empty one; further columns are ignored.
     """
     measured = materialise(measure(documents), "quality")
-    limits = materialise(thresholds(measured, width, least), "quality-limits").select(F.col("lang").alias("l"), F.col("source").alias("s"), *(f"max_{c}" for c in ADAPTIVE))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    limits = materialise(thresholds(measured.where(~failed), width, least), "quality-limits").select(F.col("lang").alias("l"), F.col("source").alias("s"), *(f"max_{c}" for c in ADAPTIVE))
     small = limits.count() <= 50_000
     fine = F.lit(True)
     for c in ADAPTIVE:
