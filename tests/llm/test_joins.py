@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import line_dedup, ngram_join
+from weftline.llm import line_dedup, ngram_join, queries
 from weftline.llm.common import word_hashes
 from weftline.llm.components import components
 
@@ -90,6 +90,17 @@ def test_lines(spark, limits):
     assert sorted(((str(r.doc_id), r.text, r.n_lines, r.removed) for r in found.collect()), key=str) == brute_lines(rows)
 
 
+def test_short_lines(spark, tmp_path):
+    """The query takes lines of any length: equal short ones, unspaced ones, and four words against five."""
+    rows = documents(6, [1, 2, 3, 4, 5, 6, 9], 60, [0, 0, 1])
+    rows += [(2000, "a b c d\n重复的一行文字没有空格\na"), (2001, "重复的一行文字没有空格\nb c d a e\nA"), (2002, "a\nx y\ny x\n\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    want = brute_lines(rows, least=1)
+    assert sorted(((str(r.doc_id), r.text, r.n_lines, [int(x) for x in r.removed.split(",") if x]) for r in found), key=str) == want
+    assert want != brute_lines(rows)
+
+
 def test_lines_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 

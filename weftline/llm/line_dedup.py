@@ -26,7 +26,7 @@ from weftline.llm.common import as_bytes, materialise, mix, text_blocks, word_ha
 from weftline.llm.components import components
 from weftline.llm.ngram_join import BROADCAST_ROWS, Sets, _groups, _maybe_broadcast, cells
 
-#: A match needs DEN * intersection >= NUM * union; lines of fewer words than LEAST_WORDS take no part.
+#: A match needs DEN * intersection >= NUM * union; lines of fewer words than LEAST_WORDS take no part unless the caller lowers the bound.
 NUM, DEN, LEAST_WORDS = 80, 100, 5
 #: Entries of the frequency table (16 bytes each), and of each task's contribution to it.
 TABLE, TASK_TABLE = 1 << 17, 1 << 16
@@ -250,7 +250,8 @@ def _entries(table: tuple[np.ndarray, np.ndarray], least: int, num: int, den: in
             once[keep] = True
             place = np.arange(len(found.words)) - found.at[found.row]
             prefix = found.sizes - -(-num * found.sizes // den) + 1
-            some = (place < prefix[found.row]) & once[found.row]
+            lone = found.sizes * den < num * (found.sizes + 1)  # too few tokens to match any but an equal set, which the print finds
+            some = (place < prefix[found.row]) & (once & ~lone)[found.row]
             row, place, word, key = found.row[some], place[some], found.words[some], found.key[some]
             cell = key >= np.uint64((1 << 63) + (barred << 45)) if barred < len(words) else np.zeros(len(row), bool)
             slow = np.zeros(len(one), bool)
