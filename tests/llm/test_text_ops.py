@@ -254,6 +254,12 @@ def test_markup(extractor):
     html_extract.extract("<div>" * 20_000 + "x" + "<p class='" * 500, extractor)
 
 
+def test_marks_of_the_whole_block(extractor):
+    long = html_extract.blocks("<p>" + "word " * 600 + "end. " * 600 + "</p>")
+    marks = html_extract.features(long)[0, html_extract.FEATURES.index("marks_per_word")]
+    assert 0.4 < marks < 0.6
+
+
 def test_min_cut():
     rng = random.Random(2)
     for _ in range(200):

@@ -166,7 +166,7 @@ def features(found: list[Block]) -> np.ndarray:
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         out[i] = (
-            1, math.log1p(len(b.text)), b.linked / max(1, len(b.text)), min(1.0, len(_SENTENCE.findall(b.text, 0, 2000)) / min(words, 300)),
+            1, math.log1p(len(b.text)), b.linked / max(1, len(b.text)), min(1.0, len(_SENTENCE.findall(b.text)) / words),
             b.in_article, min(b.good, 3), min(b.bad, 3), b.bad_element, b.heading, b.item, words < 6, b.after,
         )
     return out
