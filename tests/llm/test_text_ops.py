@@ -116,6 +116,22 @@ def test_disguises(text, kind, shown):
     assert not any(a < y and x < b for a, b in added[kind] for x, y in base[kind])
 
 
+@pytest.mark.parametrize(
+    ("kind", "shown"),
+    [
+        ("ip", "one dot two dot three dot four"),
+        ("ip", "one zero dot zero dot zero dot one"),
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("phone", "plus one 555 010 9999"),
+        ("phone", "+1 555 010 nine 999"),
+    ],
+)
+def test_runs_of_few_spelled_digits(kind, shown):
+    text = f"note {shown} here"
+    base, added = pii.find(text)
+    assert [text[a:b] for a, b in added[kind]] == [shown] and not base[kind]
+
+
 def test_clean_text_adds_nothing():
     for text in ("we met at noon and dotted the i", "one two three four", "the dot product at hand", "a@b.com", "Größe, één, ñandú"):
         assert not any(pii.find(text)[1].values())

@@ -105,8 +105,8 @@ _SPELLED = {
 }
 _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _PLUS = {"plus", "dot", "point", "punkt", "punto"}
-#: A run of spelled (or written) digits, with at least seven spelled ones in all, is a disguise.
-_DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NUMBER})(?:[\s,.-]{{1,3}}(?:{_NUMBER}|dot|point|punkt|punto|[0-9]+))+(?!\w)")
+#: A run of spelled or written digits with anything spelled in it is a disguise; whether it is an identifier, the kinds decide.
+_DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+|\+\s?)?(?:{_NUMBER}|[0-9]++)(?:[\s,.-]{{1,3}}(?:{_NUMBER}|dot|point|punkt|punto|[0-9]++))+(?!\w)")
 _TOKEN = re.compile(r"\w+|[^\w]+")
 # a run of white space is tried from its start only, so long runs stay linear
 _BRACKETED_AT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:at|arroba|ät|@)\s*+[\])}>]\s*+")
@@ -171,10 +171,13 @@ def _spelled_digits(tape: Tape) -> Tape:
     edits = []
     for run in _DIGIT_RUN.finditer(tape.text):
         tokens = [(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(run.group())]
-        if sum(t in _SPELLED for _, _, t in tokens) < 7:
+        if not any(t in _SPELLED or t in _PLUS for _, _, t in tokens):
             continue
-        for a, b, t in tokens:
-            new = _SPELLED.get(t, "+" if t == "plus" else "." if t in _PLUS else t if t.isdigit() else "-" if "-" in t else " ")
+        for k, (a, b, t) in enumerate(tokens):
+            if t.isspace() and 0 < k < len(tokens) - 1 and tokens[k - 1][2] in _SPELLED and tokens[k + 1][2] in _SPELLED:
+                edits.append((run.start() + a, run.start() + b, ""))  # digits spelled one by one are one number
+                continue
+            new = _SPELLED.get(t, "+" if t == "plus" else "." if t in _PLUS else t if t.isdigit() or t in ("+", ".") else "-" if "-" in t else "+" if "+" in t else " ")
             edits.append((run.start() + a, run.start() + b, new))
     tape = tape.rewrite(edits)
     if edits:  # single spaces between digits and dots go: the digits are one number
@@ -182,7 +185,7 @@ def _spelled_digits(tape: Tape) -> Tape:
     return tape
 
 
-_SPELLED_PAIR = re.compile(rf"(?i)\b(?:{_NUMBER})[\s,.-]{{1,3}}(?:{_NUMBER})[\s,.-]{{1,3}}(?:{_NUMBER})\b")
+_SPELLED_PAIR = re.compile(rf"(?i)\b(?:(?:plus[\s-]+)?(?:{_NUMBER})[\s,.-]{{1,3}}(?:{_NUMBER}|[0-9]|point|punkt|punto)|plus[\s-]+[0-9]|[0-9][\s,.-]{{1,3}}(?:{_NUMBER}|point|punkt|punto)\b)")
 
 
 def disguised(text: str) -> bool:
