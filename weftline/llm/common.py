@@ -3,45 +3,75 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.sources.tables import shared_folder, table  # noqa: F401
 
 #: Words of the whitespace contracts are runs of anything but these bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _TO_SPACE = bytes(0x20 if b in SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here, whichever executor is lost later."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
 
+#: Where materialised frames lie, as long as they are referred to.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+def discard(*frames: DataFrame) -> None:
+    """Delete materialised frames that nothing will read again; others are left alone."""
+    for df in frames:
+        if path := _WRITTEN.pop(df, None):
+            jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, whichever executor is lost later."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of a side that may be broadcast; beyond it the join shuffles. Files hold a third of what rows take in memory at least.
+BROADCAST_BYTES, IN_MEMORY = 64 << 20, 3
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a materialised frame, or columns and rows of one, if its files are small; sizes are known without reading."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if IN_MEMORY * size <= BROADCAST_BYTES else df
+
+
+#: Rows of one key that one task of a join takes.
+SHARE = 1 << 14
+
+
+def salted_join(many: DataFrame, key: str, few: DataFrame, of: str, spread: str, counted: DataFrame) -> DataFrame:
+    """Inner join many.key = few.of, where a key of `many` may hold any share of its rows.
+
+    Keys of more than SHARE rows in `counted` (a materialised frame with that column) are dealt out by `spread`, and
+    their rows of `few`, of which there should be few a key, are copied to each part.
+    """
+    heavy = materialise(counted.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("__parts")).where("__parts > 1"), "heavy")
+    if heavy.isEmpty():
+        discard(heavy)
+        return many.join(few, F.col(key) == F.col(of))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = many.join(maybe_broadcast(heavy), F.col(key) == F.col("__key"), "left").withColumn("__part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("__key", "__parts")
+    copied = few.join(maybe_broadcast(heavy), F.col(of) == F.col("__key"), "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__key", "__parts")
+    return dealt.join(copied, (F.col(key) == F.col(of)) & (F.col("__part") == F.col("__copy"))).drop("__part", "__copy")
 
 
 def text_blocks(batches, column: str = "text", limit: int = BATCH_BYTES):

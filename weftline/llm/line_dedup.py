@@ -3,39 +3,41 @@
 A line's tokens are its distinct lower-cased words, ordered by rarity: first those outside a bounded table of the
 corpus' most frequent tokens (by hash), then the frequent ones, rarest first. Any order that all tasks share gives
 right results; a better one only makes prefixes rarer. Two lines match when their Jaccard similarity is at least
-NUM / DEN. A match must share a token within both prefixes; in the token's region, the length filter, the positional
-filter and a parity bitmap (which bounds the symmetric difference from below) leave few pairs, of which only a
-spanning forest is emitted. Lines with a very frequent prefix token meet in cells of equal token classes instead of
-in that token's region (exact by the pigeonhole principle). The forests chain lines into islands, in which every
-line is compared with the earlier ones exactly.
+NUM / DEN, and then share a token within both prefixes. Lines meet in the region of that token; in a region of a token
+that the table calls hot they would be too many, so the key goes on to the next common token, which lies in the prefix
+longer by one, and so on (the adaptive prefix). In a region the length, positional and bitmap filters leave few pairs.
+Of each line the earliest FIRST partners of a region become candidates, which are verified by their tokens; a line
+with more of them that none of the first matches is compared with all the lines of its regions in a second round, so
+nothing is lost, and groups of thousands of near copies cost rows in proportion to their size.
 
 A line is removed when an earlier line - by (doc_id, hash of the text, line number) - matches it, itself removed or
-not. Of equal lines the first stays unless an earlier different line matches it.
+not. Of equal lines the first stays unless an earlier different line matches it. Sets of tokens are told by 128 bits
+of fingerprint, tokens by 64 bits of hash.
 """
 
 from __future__ import annotations
 
-import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, materialise, mix, text_blocks, word_hashes
-from weftline.llm.components import components
-from weftline.llm.ngram_join import BROADCAST_ROWS, Sets, _groups, _maybe_broadcast, cells
+from weftline.llm.common import as_bytes, discard, materialise, maybe_broadcast, mix, salted_join, text_blocks, word_hashes
 
-#: A match needs DEN * intersection >= NUM * union; lines of fewer words than LEAST_WORDS take no part unless the caller lowers the bound.
-NUM, DEN, LEAST_WORDS = 80, 100, 5
+#: A match needs DEN * intersection >= NUM * union; lines of fewer words than LEAST_WORDS take no part unless the caller raises the bound.
+NUM, DEN, LEAST_WORDS = 80, 100, 1
 #: Entries of the frequency table (16 bytes each), and of each task's contribution to it.
 TABLE, TASK_TABLE = 1 << 17, 1 << 16
-#: Occurrences in the corpus from which a token has no region; rows of a region that a task holds at once.
-HOT, REGION = 1 << 14, 1 << 14
+#: Lines that a key is expected to bring together from which it takes in another token; the most tokens of a key; tokens of a line that has such keys.
+HOT, DEPTH, EXTENDED = 1 << 12, 4, 20
+#: Entries a bucket is planned for, and those that a task holds of one at once.
+BUCKET, HELD = 1 << 18, 1 << 20
+#: Candidates of a line in a region's first round, and partners that it is held against there.
+FIRST, STEPS = 8, 1 << 13
 #: Bytes of text whose lines a task sorts at once; their arrays take some thirty times that.
 BLOCK = 2 << 20
-#: Lines of an island that one task compares.
-ISLAND = 1024
 
 
 class Ranks:
@@ -43,6 +45,7 @@ class Ranks:
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.order = np.lexsort((words, counts))
+        self.counts = counts[self.order]
         self.bits = max(4, (8 * len(words) - 1).bit_length()) if len(words) else 4
         self.slot_word, self.slot_rank = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
         self.probes = 1
@@ -74,18 +77,26 @@ class Ranks:
                 break
         return key
 
+    def count(self, key: np.ndarray) -> np.ndarray:
+        """Occurrences of tokens by their keys; 0 for those outside the table."""
+        out = np.zeros(len(key))
+        some = key >> np.uint64(63) != 0
+        out[some] = self.counts[((key[some] >> np.uint64(45)) & np.uint64(0x3FFFF)).astype(np.int64)]
+        return out
+
 
 class Lines:
     """The lines of a block of texts that take part, with their ordered distinct tokens."""
 
-    def __init__(self, texts: list[bytes | None], least: int, table: Ranks | None = None):
+    def __init__(self, texts: list[bytes | None], least: int, table: Ranks | None = None, wanted: list[list[int]] | None = None):
         lines, owner, number = [], [], []
         for i, t in enumerate(texts):
             if t:
                 parts = t.split(b"\n")
-                lines += parts
-                owner += [i] * len(parts)
-                number += range(len(parts))
+                some = range(len(parts)) if wanted is None else wanted[i]
+                lines += parts if wanted is None else [parts[k] for k in some]
+                owner += [i] * len(some)
+                number += some
         words, counts = word_hashes(lines)
         line = np.repeat(np.arange(len(lines)), counts)
         some = (counts >= least)[line]
@@ -115,38 +126,55 @@ class Lines:
             seed = self.sizes.astype(np.uint64)
             return tuple(mix(np.add.reduceat(mix(self.words, k), self.at) + seed, k + 2) for k in (21, 22))
 
-    def bitmaps(self) -> list[np.ndarray]:
-        """Parity of the tokens of each of 256 hash classes, folded to 64 classes for lines of at most 48 tokens and to 128 for at most 128."""
-        place = mix(self.words, 25) >> np.uint64(56)
+    def bitmaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parity of the tokens of each of 128 hash classes; lines of at most 48 tokens have 64 classes, in the first word."""
+        if not len(self.ids):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        place = mix(self.words, 25) >> np.uint64(57)
         bit = np.uint64(1) << (place & np.uint64(63))
-        out = [np.bitwise_xor.reduceat(bit, self.at), *(np.zeros(len(self.at), np.uint64) for _ in range(3))]
-        long = np.flatnonzero(self.sizes > 48)
-        if len(long):
-            some = (self.sizes > 48)[self.row]
-            part, bit = (place[some] >> np.uint64(6)).astype(np.int64), bit[some]
-            at = np.concatenate([[0], np.cumsum(self.sizes[long])[:-1]])
-            parts = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), at) for k in range(4)]
-            folded = self.sizes[long] <= 128
-            out[0][long] = np.where(folded, parts[0] ^ parts[2], parts[0])
-            out[1][long] = np.where(folded, parts[1] ^ parts[3], parts[1])
-            for k in (2, 3):
-                out[k][long] = np.where(folded, np.uint64(0), parts[k])
-        return out
-
-    def sets(self, some) -> list[np.ndarray]:
-        return [np.sort(self.words[self.at[i] : self.at[i] + self.sizes[i]]) for i in some]
+        second = (place >> np.uint64(6) != 0) & (self.sizes > 48)[self.row]
+        return np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bit), self.at), np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), self.at)
+
+    def keys(self, ranks: Ranks | None, lines: int, num: int, den: int, hot: int, depth: int = DEPTH, extended: int = EXTENDED):
+        """(line, key, reach) of the lines' keys: tokens of the prefix, hot ones with the tokens that may follow them as common ones.
+
+        The reach bounds the tokens that two lines have in common if the key holds the first ones of them.
+        """
+        prefix = self.sizes - -(-num * self.sizes // den) + 1
+        place = np.arange(len(self.words)) - self.at[self.row]
+        lone = self.sizes * den < num * (self.sizes + 1)  # too few tokens to match any but an equal set, which the print finds
+        at = np.flatnonzero((place < prefix[self.row]) & ~lone[self.row])
+        counts = ranks.count(self.key) if ranks is not None else np.zeros(len(self.words))
+        line, key, expected = self.row[at], mix(self.words[at], 30), counts[at]
+        out = []
+        for k in range(1, depth + 1):
+            size = self.sizes[line]
+            reach = size - place[at] - 1 + k
+            more = (expected > hot) & (size >= extended) if k < depth else np.zeros(len(at), bool)
+            # lines of a size that may match one too short for longer keys have the short key as well
+            stay = ~more | (num * size <= den * extended)
+            out.append((line[stay], key[stay], reach[stay]))
+            if not more.any():
+                break
+            line, key, expected, at = line[more], key[more], expected[more], at[more]
+            follow = np.minimum(prefix[line] + k, self.sizes[line]) - place[at] - 1
+            of = np.repeat(np.arange(len(at)), follow)
+            at = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(follow) - follow, follow) + 1
+            with np.errstate(over="ignore"):
+                line, key, expected = line[of], mix(key[of] * np.uint64(0x9E3779B97F4A7C15) + self.words[at], 30), expected[of] * counts[at] / max(lines, 1)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def frequent_tokens(docs: DataFrame, least: int, size: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted tokens, their counts) of the corpus' most frequent tokens; the table's size is its bound."""
+def frequent_tokens(docs: DataFrame, size: int = TABLE) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(sorted tokens, their counts) of the corpus' most frequent tokens - the table's size is its bound -, words and lines of the corpus."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
+        total = n_words = n_lines = 0
 
         def merged(keep: int):
             words = np.concatenate([w for w, _ in held])
@@ -157,385 +185,302 @@ def frequent_tokens(docs: DataFrame, least: int, size: int = TABLE) -> tuple[np.
             return distinct[best], sums[best]
 
         for batch in text_blocks(batches, limit=BLOCK):
-            words, _ = word_hashes(as_bytes(batch.column("text")))
+            texts = as_bytes(batch.column("text"))
+            words, _ = word_hashes(texts)
+            n_words += len(words)
+            n_lines += sum(t.count(b"\n") + 1 for t in texts if t)
             held.append(np.unique(words, return_counts=True))
             total += len(held[-1][0])
-            if total > 1 << 21:
-                held = [merged(1 << 19)]
+            if total > 1 << 20:
+                held = [merged(1 << 18)]
                 total = len(held[0][0])
         if held:
             words, counts = merged(TASK_TABLE)
             some = counts > 1
-            yield pa.RecordBatch.from_arrays([_signed(words[some]), pa.array(counts[some])], ["token", "n"])
-
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size).toPandas()
+            words, counts = words[some], counts[some]
+            yield pa.RecordBatch.from_arrays([_signed(words), pa.array(counts), pa.array(np.zeros(len(words), np.int64))], ["token", "n", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n_words]), pa.array([n_lines])], ["token", "n", "lines"])
+
+    # the row without a token holds the sums, so it comes first
+    found = docs.select("text").mapInArrow(run, "token long, n long, lines long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
+    found = found.orderBy(F.col("token").isNotNull(), F.desc("n"), "token").limit(size + 1).toPandas()
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+    total, found = found.iloc[0], found.iloc[1:]
     words, counts = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(words)
-    return words[order], counts[order]
-
-
-#: Tokens of a line beyond which it meets others in cells only; its bitmap would say little.
-LONG = 256
-#: 64-bit fields of a row's payload: set, size + 1 and position, four of the bitmap.
-FIELDS = 6
-
-
-def _rows(token: np.ndarray, one: np.ndarray, n: np.ndarray, place: np.ndarray, rest: list[np.ndarray], doc_id: pa.Array) -> pa.RecordBatch:
-    """Rows of the regions' exchange: a token to deal and sort by, a payload of fixed width, and the document of a line."""
-    payload = np.zeros((len(token), FIELDS), np.uint64)
-    payload[:, 0], payload[:, 1] = one, ((n + 1).astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
-    for k, x in enumerate(rest):
-        payload[:, 2 + k] = x
-    offsets = np.arange(len(token) + 1, dtype=np.int32) * (8 * FIELDS)
-    binary = pa.Array.from_buffers(pa.binary(), len(token), [None, pa.py_buffer(offsets), pa.py_buffer(payload)])
-    return pa.RecordBatch.from_arrays([_signed(token), binary, doc_id], ["token", "payload", "doc_id"])
-
-
-def _fields(batch: pa.RecordBatch) -> np.ndarray:
-    column = batch.column("payload")
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.uint64).reshape(-1, FIELDS)
-
-
-#: Lines up to this many tokens differ from a match by two tokens at most, so common subsets name their cells; classes would hold one or two tokens.
-SHORT = 13
-
-
-def _subset_cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) of short sets: a set and what is left of it without one or two tokens. Two matching sets meet in their intersection."""
-    rows, keys = [], []
-    with np.errstate(over="ignore"):
-        for i, s in enumerate(sets):
-            n = len(s)
-            most = (n + n * den // num) * (den - num) // (den + num)
-            content = mix(s, 33)
-            total = np.sum(content)
-            left = [np.array([total + np.uint64(n)], np.uint64)]
-            if most >= 1:
-                left.append(total - content + np.uint64(n - 1))
-            if most >= 2:
-                a, b = np.triu_indices(n, 1)
-                left.append(total - content[a] - content[b] + np.uint64(n - 2))
-            found = mix(np.concatenate(left), 34)
-            rows.append(np.full(len(found), i))
-            keys.append(found)
-    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def _cells(found: Lines, some: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, cell) of lines that go by cells: short ones by subsets, longer ones by classes, those near the border by both."""
-    sizes = found.sizes[some]
-    two = 2 * SHORT * (den - num) // (den + num) <= 2  # else subsets of two deletions don't suffice
-    short = some[(sizes <= SHORT) & two]
-    long = some[(sizes * den >= num * (SHORT + 1)) | (not two)]
-    a, x = _subset_cells(found.sets(short), num, den)
-    b, y = cells(found.sets(long), num, den)
-    return np.concatenate([short[a], long[b]]), np.concatenate([x, y])
-
-
-def _entries(table: tuple[np.ndarray, np.ndarray], least: int, num: int, den: int, hot: int):
-    """Rows for the regions: prefix entries (token, set, size, position, bitmap), cells (size 0), and the lines themselves (size -1)."""
-    words, counts = table
-    ranks = Ranks(words, counts)
-    barred = int(np.searchsorted(counts[ranks.order], hot, "right"))
+    return words[order], counts[order], int(total["n"]), int(total["lines"])
 
-    def run(batches):
+
+#: Columns of the entries of a bucket, one after the other: key within the bucket, size, reach, set, place of the document, bitmap.
+ENTRY = (("key", "<u4"), ("n", "<u4"), ("reach", "<u4"), ("one", "<u8"), ("when", "<i8"), ("left", "<u8"), ("right", "<u8"))
+Entries = dict[str, np.ndarray]
+
+
+def _pack(e: Entries) -> bytes:
+    return b"".join(np.ascontiguousarray(e[c], t).tobytes() for c, t in ENTRY)
+
+
+def _unpack(blob: bytes) -> Entries:
+    n, out, at = len(blob) // sum(np.dtype(t).itemsize for _, t in ENTRY), {}, 0
+    for c, t in ENTRY:
+        out[c] = np.frombuffer(blob, t, n, at)
+        at += out[c].nbytes
+    return out
+
+
+def _joined(parts: list[Entries]) -> Entries:
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in ENTRY}
+
+
+def _at(e: Entries, some: np.ndarray) -> Entries:
+    return {c: x[some] for c, x in e.items()}
+
+
+def _bucket_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
+class Join:
+    """The parameters of a join, and its two sides: entries by buckets, and pairs from a bucket's entries."""
+
+    def __init__(self, least: int, num: int, den: int, hot: int, held: int, first: int, steps: int, bits: int, lines: int):
+        self.least, self.num, self.den, self.hot, self.held, self.first, self.steps, self.bits, self.lines = least, num, den, hot, held, first, steps, bits, lines
+
+    def entries(self, table: tuple[np.ndarray, np.ndarray], batches) -> Iterator[pa.RecordBatch]:
+        """Packed entries of each bucket, and a row for each line. `when` of a document orders documents, roughly is enough."""
+        ranks = Ranks(*table)
         for batch in text_blocks(batches, limit=BLOCK):
-            found = Lines(as_bytes(batch.column("text")), least, ranks)
+            found = Lines(as_bytes(batch.column("text")), self.least, ranks)
             if not len(found.ids):
                 continue
-            one, two = found.prints()
-            _, keep = np.unique(one, return_index=True)
-            once = np.zeros(len(one), bool)
-            once[keep] = True
-            place = np.arange(len(found.words)) - found.at[found.row]
-            prefix = found.sizes - -(-num * found.sizes // den) + 1
-            lone = found.sizes * den < num * (found.sizes + 1)  # too few tokens to match any but an equal set, which the print finds
-            some = (place < prefix[found.row]) & (once & ~lone)[found.row]
-            row, place, word, key = found.row[some], place[some], found.words[some], found.key[some]
-            cell = key >= np.uint64((1 << 63) + (barred << 45)) if barred < len(words) else np.zeros(len(row), bool)
-            slow = np.zeros(len(one), bool)
-            slow[row[cell]] = True
-            # a line that goes by cells only may match a somewhat shorter one, which must be there too
-            slow |= once & (found.sizes * den >= num * LONG)
-            near = ~cell & (found.sizes[row] <= LONG)
-            row, place, word = row[near], place[near], word[near]
-            columns = [word, one[row], found.sizes[row], place, *(x[row] for x in found.bitmaps())]
-            if slow.any():
-                slow = np.flatnonzero(slow)
-                at, key = _cells(found, slow, num, den)
-                zero, none = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
-                columns = [np.concatenate(x) for x in zip(columns, [key, one[at], zero, zero, none, none, none, none], strict=True)]
             kind = batch.schema.field("doc_id").type
-            for k in range(0, len(columns[0]), 1 << 17):
-                token, one_, n, place, *bits = (c[k : k + (1 << 17)] for c in columns)
-                yield _rows(token, one_, n, place, bits, pa.nulls(len(token), kind))
+            one, two = found.prints()
             owner = pa.array(found.owner)
+            n = len(one)
             th = np.asarray(batch.column("th").take(owner)).view(np.uint64)
-            spread = mix(one ^ mix(th, 31))  # a frequent line's rows go everywhere
-            yield _rows(spread, one, np.full(len(one), -1), found.number, [two, th], batch.column("doc_id").take(owner))
-
-    return run
-
-
-def _region_pairs(token, one, n, place, bits: list[np.ndarray], num: int, den: int):
-    """Pairs of rows (sorted by token and size) that pass the length, positional and bitmap filters, and differ."""
-    a_out, b_out = [], []
-    whole = np.zeros(0, np.uint64)
-    active = np.arange(len(token))
-    lag = 0
-    while True:
-        lag += 1
-        active = active[active + lag < len(token)]
-        other = active + lag
-        going = (token[active] == token[other]) & (n[active] * den >= num * n[other])
-        active = active[going]
-        if not len(active):
-            break
-        other = active + lag
-        total = n[active] + n[other]
-        need = -(-num * total // (num + den))
-        fine = 1 + np.minimum(n[active] - place[active], n[other] - place[other]) - 1 >= need
-        i, j, slack = active[fine], other[fine], (total - 2 * need)[fine]
-        # bitmaps are compared folded as far as the shorter line's; each folding bounds the difference from below
-        if not len(whole):
-            whole = bits[0] ^ bits[1] ^ bits[2] ^ bits[3]
-        narrow = np.minimum(n[i], n[j]) <= 48
-        fine = one[i] != one[j]
-        fine &= np.bitwise_count(whole[i] ^ whole[j]) <= slack
-        i, j, slack, narrow = i[fine], j[fine], slack[fine], narrow[fine]
-        if len(i):
-            x, y = bits[0][i] ^ bits[2][i] ^ bits[0][j] ^ bits[2][j], bits[1][i] ^ bits[3][i] ^ bits[1][j] ^ bits[3][j]
-            fine = narrow | (np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= slack)
-            i, j, slack = i[fine], j[fine], slack[fine]
-            wide = np.minimum(n[i], n[j]) > 128
-            fine = ~wide | (sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits) <= slack)
-            a_out.append(i[fine])
-            b_out.append(j[fine])
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.zeros(0, np.int64),) * 2
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest: each node of the pairs tied to the first node of its component."""
-    if not len(a):
-        return a, b
-    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = back[: len(a)], back[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = np.minimum(new, new[new])
-        if np.array_equal(new, label):
-            break
-        label = new
-    tied = label != np.arange(len(nodes))
-    return nodes[tied], nodes[label[tied]]
-
-
-def _regions(num: int, den: int, limit: int):
-    """Rows sorted by token; whole regions are joined, rows of too large ones are passed on (b is null), lines pass through (line is not null)."""
-
-    def out(a, b, kind, doc_id=None, th=None, line=None):
-        n = len(a)
-        signed = lambda x, of=pa.int64(): pa.nulls(n, of) if x is None else pa.array(x.view(np.int64)) if isinstance(x, np.ndarray) and x.dtype == np.uint64 else pa.array(x, of)
-        return pa.RecordBatch.from_arrays([signed(a), signed(b), pa.nulls(n, kind) if doc_id is None else doc_id, signed(th), signed(line, pa.int32())], ["a", "b", "doc_id", "th", "line"])
-
-    def distinct(token, rows):
-        """Sorted by token, size and set, each set once."""
-        order = np.lexsort((rows[:, 0], rows[:, 1] >> np.uint64(32), token))
-        token, rows = token[order], rows[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (rows[1:, 0] != rows[:-1, 0]) | ((rows[1:, 1] ^ rows[:-1, 1]) >> np.uint64(32) != 0)
-        return token[new], rows[new]
-
-    def join(token, rows, kind):
-        token, rows = distinct(token, rows)
-        size = (rows[:, 1] >> np.uint64(32)).astype(np.int64) - 1
-        zero = size == 0
-        a, b = [], []
-        if zero.any():  # a cell's sets are tied to its first one
-            key, one = token[zero], rows[zero, 0]
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            first = one[head][np.cumsum(head) - 1]
-            a, b = [one[first != one]], [first[first != one]]
-            token, rows, size = token[~zero], rows[~zero], size[~zero]
-        place = (rows[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        x, y = _region_pairs(token, rows[:, 0], size, place, [np.ascontiguousarray(rows[:, 2 + k]) for k in range(4)], num, den)
-        x, y = _forest(rows[x, 0], rows[y, 0])
-        return out(np.concatenate([*a, x]), np.concatenate([*b, y]), kind)
+            spread = (mix(one ^ mix(th, 31)) >> np.uint64(33)).astype(np.int32)  # a frequent line's rows go everywhere
+            lines = [pa.array(spread), pa.nulls(n, pa.binary()), batch.column("doc_id").take(owner), batch.column("th").take(owner), pa.array(found.number.astype(np.int32)), _signed(one), _signed(two)]
+            yield pa.RecordBatch.from_arrays(lines, ["bucket", "entries", "doc_id", "th", "line", "one", "two"])
+            when = np.asarray(batch.column("when"))[found.owner]
+            order = np.lexsort((when, one))
+            once = np.zeros(n, bool)
+            once[order[np.unique(one[order], return_index=True)[1]]] = True
+            line, key, reach = found.keys(ranks, self.lines, self.num, self.den, self.hot)
+            some = once[line]
+            line, key, reach = line[some], key[some], reach[some]
+            bucket = _bucket_of(key, self.bits)
+            order = np.argsort((bucket << 32) | np.minimum(found.sizes[line], (1 << 32) - 1))
+            line, bucket = line[order], bucket[order]
+            left, right = found.bitmaps()
+            e = {"key": key[order].astype(np.uint32), "n": found.sizes[line], "reach": reach[order], "one": one[line], "when": when[line], "left": left[line], "right": right[line]}
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
+            blobs = [_pack({c: x[a:b] for c, x in e.items()}) for a, b in zip(edges, edges[1:], strict=False)]
+            m = len(blobs)
+            rows = [pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, ["bucket", "entries", "doc_id", "th", "line", "one", "two"])
+
+    def pairs(self, e: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(earlier, later, unsettled) rows of entries sorted by key and place: the first partners that pass the filters, and rows that may have more."""
+        n = len(e["key"])
+        head = np.ones(n, bool)
+        head[1:] = e["key"][1:] != e["key"][:-1]
+        start = np.flatnonzero(head)[np.cumsum(head) - 1] if n else np.zeros(0, np.int64)
+        back = np.arange(n) - start
+        size, reach = e["n"].astype(np.int64), e["reach"].astype(np.int64)
+        whole = e["left"] ^ e["right"]
+        partners = np.zeros(n, np.int64)
+        a_out, b_out, unsettled = [], [], []
+        active = np.flatnonzero(back > 0)
+        for step in range(self.steps):
+            if not len(active):
+                break
+            x, y = start[active] + step, active
+            need = -(-self.num * (size[x] + size[y]) // (self.num + self.den))
+            fine = np.minimum(reach[x], reach[y]) >= need
+            x, y, slack = x[fine], y[fine], (size[x] + size[y] - 2 * need)[fine]
+            # parities bound the difference from below; the halves of long lines are folded against a short one
+            fine = np.bitwise_count(whole[x] ^ whole[y]) <= slack
+            x, y, slack = x[fine], y[fine], slack[fine]
+            both = np.minimum(size[x], size[y]) > 48
+            fine = ~both | (np.bitwise_count(e["left"][x] ^ e["left"][y]).astype(np.int64) + np.bitwise_count(e["right"][x] ^ e["right"][y]) <= slack)
+            x, y = x[fine], y[fine]
+            a_out.append(x)
+            b_out.append(y)
+            partners[y] += 1
+            active = active[back[active] > step + 1]
+            if len(y):
+                full = partners[active] >= self.first
+                unsettled.append(active[full])
+                active = active[~full]
+        unsettled.append(active)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out, unsettled))
+
+    def regions(self, batches) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket: candidates (a, b), unsettled sets (a, key), and the lines as they came."""
+        bucket, parts, count, split = None, [], 0, np.zeros(0, np.uint32)
+        kind = pa.int64()
+
+        def out(a, b=None, key=None):
+            n = len(a)
+            columns = [_signed(a), pa.nulls(n, pa.int64()) if b is None else _signed(b), pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "doc_id", "th", "line"])
+
+        def distinct(e: Entries) -> Entries:
+            order = np.lexsort((e["when"], e["one"], e["key"]))
+            e = _at(e, order)
+            new = np.ones(len(order), bool)
+            new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["one"][1:] != e["one"][:-1])
+            return _at(e, new)
+
+        def join(e: Entries, last: bool):
+            """Candidates of what is held; what to hold on to, and the regions that are cut, if the bucket goes on."""
+            nonlocal split
+            e = _at(e, np.lexsort((e["one"], e["when"], e["key"])))
+            x, y, open_ = self.pairs(e)
+            if len(open_):  # documents that `when` doesn't tell apart may come in either order, so they are open as well
+                tie = np.flatnonzero((e["key"][1:] == e["key"][:-1]) & (e["when"][1:] == e["when"][:-1]))
+                tie = np.union1d(tie, tie + 1)
+                open_ = np.union1d(open_, tie[np.isin(e["key"][tie], e["key"][open_])])
+            keep = None
+            if not last:
+                head = np.ones(len(e["key"]), bool)
+                head[1:] = e["key"][1:] != e["key"][:-1]
+                rank = np.arange(len(head)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+                split = np.union1d(split, e["key"][rank >= self.first])
+                keep = _at(e, rank < self.first)
+            if len(split):
+                open_ = np.union1d(open_, np.flatnonzero(np.isin(e["key"], split)))
+            found = [out(e["one"][x], e["one"][y])] if len(x) else []
+            if len(open_):
+                found.append(out(e["one"][open_], key=(np.int64(bucket) << 32) | e["key"][open_].astype(np.int64)))
+            return found, keep
+
+        def finish():
+            nonlocal parts, count, split
+            if parts:
+                found, _ = join(distinct(_joined(parts)), True)
+                yield from found
+            parts, count, split = [], 0, np.zeros(0, np.uint32)
 
-    def run(batches):
-        token, rows = np.zeros(0, np.int64), np.zeros((0, FIELDS), np.uint64)
-        over = kind = None  # over: a region known to be too large
         for batch in batches:
-            if not batch.num_rows:
-                continue
             kind = batch.schema.field("doc_id").type
-            now, fields = np.asarray(batch.column("token")), _fields(batch)
-            line = fields[:, 1] >> np.uint64(32) == 0
-            if line.any():  # the lines themselves pass through
-                own = fields[line]
-                yield out(own[:, 0].copy(), own[:, 2].copy(), kind, batch.column("doc_id").filter(pa.array(line)), own[:, 3].copy(), own[:, 1].astype(np.int32))
-                now, fields = now[~line], fields[~line]
-            if over is not None and len(now):
-                same = now == over
-                if same.any():
-                    yield out(fields[same, 0], None, kind)
-                    now, fields = now[~same], fields[~same]
-                if len(now):
-                    over = None
-            token, rows = np.concatenate([token, now]), np.concatenate([rows, fields])
-            if not len(token):
-                continue
-            cut = int(np.searchsorted(token, token[-1]))  # the last region may go on
-            if cut >= 1 << 16 or cut and len(token) - cut > limit:
-                yield join(token[:cut], rows[:cut], kind)
-                token, rows = token[cut:], rows[cut:]
-                cut = 0
-            if not cut and len(token) > limit:
-                token, rows = distinct(token, rows)
-                if len(token) > limit and rows[0, 1] >> np.uint64(32) == 1:  # a cell: its first set stands for what was seen
-                    yield join(token, rows, kind)
-                    token, rows = token[:1], rows[:1]
-                elif len(token) > limit:
-                    over = token[0]
-                    yield out(rows[:, 0], None, kind)
-                    token, rows = token[:0], rows[:0]
-        if len(token):
-            yield join(token, rows, kind)
-
-    return run
-
-
-def _when(row: dict) -> tuple:
-    """The order of first occurrences, as Spark compares them."""
-    first = row["place"]
-    return first["last"], 0 if first["doc_id"] is None else first["doc_id"], first["th"], first["line"]
-
-
-def _matched(num: int, den: int):
-    """One island: the sets that an earlier set of the island matches."""
-
-    def run(batches):
-        for rows in _groups(batches, "region"):
-            rows.sort(key=_when)
-            found = Sets([np.frombuffer(r["tokens"], np.uint64) for r in rows], num, den)
-            hit = [k for k in range(1, len(rows)) if found.distances(k, np.arange(k))[1].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([rows[k][c] for k in hit], pa.int64()) for c in ("one", "two")], ["one", "two"])
-
-    return run
-
-
-def _matched_across(num: int, den: int):
-    """Sets of the left block that an earlier set of the right block matches."""
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, others = left.to_pylist(), right.to_pylist()
-        others.sort(key=_when)
-        hit = []
-        if rows and others:
-            found = Sets([np.frombuffer(r["tokens"], np.uint64) for r in others + rows], num, den)
-            places = [_when(r) for r in others]
-            for k, r in enumerate(rows):
-                earlier = bisect.bisect_left(places, _when(r))
-                if earlier and found.distances(len(others) + k, np.arange(earlier))[1].any():
-                    hit.append(r)
-        return pa.Table.from_arrays([pa.array([r[c] for r in hit], pa.int64()) for c in ("one", "two")], ["one", "two"])
-
-    return run
-
-
-def _matched_sets(points: DataFrame, num: int, den: int, island: int) -> DataFrame:
-    """(one, two) of the sets that an earlier set of their island matches. `points`: region, one, two, place, tokens."""
-    sizes = materialise(points.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "islands")
-    large = sizes.where(F.col("size") > island)
-    run = _matched(num, den)
-    if large.isEmpty():
-        return points.repartition("region").sortWithinPartitions("region").mapInArrow(run, "one long, two long")
-    out = points.join(sizes.where(F.col("size") <= island).select("region"), "region", "left_semi").repartition("region").sortWithinPartitions("region").mapInArrow(run, "one long, two long")
-    # large islands: most sets match one of the earliest; those that don't are compared with all, block by block
-    own = points.join(large.withColumn("blocks", F.ceil(F.col("size") / island).cast("long")), "region").withColumn("block", F.pmod(F.xxhash64("one", "two"), F.col("blocks")))
-    own = materialise(own, "large")
-    early = own.groupBy("region", "block").agg(F.min_by(F.struct("one", "two", "place", "tokens"), F.col("place")).alias("p"), F.first("blocks").alias("blocks"))
-    early = materialise(early.select("region", "blocks", "p.*"), "early")
-    pivots = early.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    across = _matched_across(num, den)
-    hit = materialise(own.groupBy("region", "block").cogroup(pivots.groupBy("region", "block")).applyInArrow(across, "one long, two long"), "hit")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    loose = own.join(hit.distinct(), ["one", "two"], "left_anti").select("region", F.col("block").alias("i"), every.alias("j"), "one", "two", "place", "tokens")
-    whole = own.toDF(*own.columns).select("region", every.alias("i"), F.col("block").alias("j"), "one", "two", "place", "tokens")
-    more = loose.groupBy("region", "i", "j").cogroup(whole.groupBy("region", "i", "j")).applyInArrow(across, "one long, two long")
-    return out.union(hit).union(more)
-
-
-def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int = LEAST_WORDS, hot: int = HOT, region: int = REGION, island: int = ISLAND) -> DataFrame:
+            line = np.asarray(batch.column("line").is_valid())
+            if line.any():
+                own = batch.filter(pa.array(line))
+                n = own.num_rows
+                yield pa.RecordBatch.from_arrays([own.column("one"), own.column("two"), pa.nulls(n, pa.int64()), own.column("doc_id"), own.column("th"), own.column("line")], ["a", "b", "key", "doc_id", "th", "line"])
+            for at in np.flatnonzero(~line).tolist():
+                if (now := batch.column("bucket")[at].as_py()) != bucket:
+                    yield from finish()
+                    bucket = now
+                parts.append(_unpack(batch.column("entries")[at].as_py()))
+                count += len(parts[-1]["key"])
+                if count > self.held:
+                    e = distinct(_joined(parts))
+                    if len(e["key"]) > self.held // 2:
+                        found, e = join(e, False)
+                        yield from found
+                    parts, count = [e], 0  # what is held on to is counted no more, or a bucket of many regions would never go on
+        yield from finish()
+
+
+def _later(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """(one, two) of the later set of each pair (a, b) that the tokens confirm."""
+    side = lambda k: points.select(*(F.col(c).alias(c + k) for c in ("one", "two", "place", "tokens")))
+    met = salted_join(salted_join(pairs, "a", side("_a"), "one_a", "b", pairs), "b", side("_b"), "one_b", "a", pairs)
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    met = met.where(F.lit(den) * both >= F.lit(num) * (F.size("tokens_a") + F.size("tokens_b") - both))
+    after = F.col("place_a") > F.col("place_b")
+    return met.select(F.when(after, F.col("one_a")).otherwise(F.col("one_b")).alias("one"), F.when(after, F.col("two_a")).otherwise(F.col("two_b")).alias("two")).distinct()
+
+
+def _order(documents: DataFrame) -> Column:
+    """A number that grows with the doc_id where it is a whole number; elsewhere all are 0, which only costs a second round."""
+    whole = documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
+
+
+def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int = LEAST_WORDS, hot: int = HOT, bucket: int = BUCKET, held: int = HELD, first: int = FIRST, steps: int = STEPS) -> DataFrame:
     """Per document row, all its columns with text less its removed lines, then n_lines, n_removed, removed (line numbers from 0).
 
     A null text stays null and has no lines; an empty one has one empty line, and lines of fewer than `least` words
-    always stay. Rows alike in doc_id and text are one document and get the same result. A null doc_id comes after
-    all others. Columns of the input named n_lines, n_removed or removed are replaced.
+    always stay, those without a word in any case. Very long texts and lines take part whole. Rows alike in doc_id and
+    text are one document and get the same result. Of documents with one doc_id the text's hash decides which is
+    earlier; a null doc_id comes after all others. Columns of the input named n_lines, n_removed or removed are
+    replaced, any others kept. An empty table gives an empty result.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
-    table = frequent_tokens(docs, least)
-    handle = documents.sparkSession.sparkContext.broadcast(table)
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th"), _order(documents).alias("when")).where("text is not null")
+    words, counts, n_words, n_lines = frequent_tokens(docs)
+    # a prefix is some quarter of a line
+    bits = max(0, (n_words // 4 // bucket).bit_length())
+    handle = documents.sparkSession.sparkContext.broadcast((words, counts))
+    join = Join(least, num, den, hot, held, first, steps, bits, n_lines)
 
     def to_entries(batches):
-        yield from _entries(handle.value, least, num, den, hot)(batches)
+        yield from join.entries(handle.value, batches)
 
-    # one pass over the texts and one exchange: regions are joined on the other side, lines pass through
-    entries = docs.mapInArrow(to_entries, f"token long, payload binary, doc_id {kind}")
-    near = entries.repartition("token").sortWithinPartitions("token")
-    found = materialise(near.mapInArrow(_regions(num, den, region), f"a long, b long, doc_id {kind}, th long, line int"), "line-regions")
+    # one pass over the texts and one exchange: buckets are joined on the other side, lines pass through
+    entries = docs.mapInArrow(to_entries, f"bucket int, entries binary, doc_id {kind}, th long, line int, one long, two long")
+    near = entries.repartition("bucket").sortWithinPartitions("bucket")
+    found = materialise(near.mapInArrow(join.regions, f"a long, b long, key long, doc_id {kind}, th long, line int"), "line-regions")
     lines = found.where("line is not null").select("doc_id", "th", "line", F.col("a").alias("one"), F.col("b").alias("two"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     sets = materialise(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-sets")
-    pairs = materialise(found.where("line is null").select("a", "b").distinct(), "line-pairs")
-    links = pairs.where("b is not null")
-    over = pairs.where("b is null")
-    if not over.isEmpty():  # regions beyond a task's memory: their lines meet in cells
-        wanted = over.select(F.col("a").alias("one")).distinct()
+    pairs = materialise(found.where("line is null and b is not null").select("a", "b").distinct(), "line-pairs")
+    unsettled = found.where("line is null and key is not null").select(F.col("a").alias("y"), "key").distinct()
+
+    def points_of(ones: DataFrame) -> DataFrame:
+        """(one, two, place, tokens) of the sets, from their first occurrences."""
+        company = materialise(sets.join(maybe_broadcast(ones), "one", "left_semi").select("one", "two", "first"), "line-company")
+        picked = materialise(company.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_set("first.line").alias("wanted")), "line-picked")
 
-        def to_cells(batches):
+        def to_tokens(batches):
             for batch in text_blocks(batches, limit=BLOCK):
-                found = Lines(as_bytes(batch.column("text")), least)
+                found = Lines(as_bytes(batch.column("text")), least, wanted=batch.column("wanted").to_pylist())
+                one, two = found.prints()
+                edges = pa.array(np.append(found.at, len(found.words)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.ListArray.from_arrays(edges, _signed(found.words))], ["one", "two", "tokens"])
+
+        chosen = docs.join(maybe_broadcast(picked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("text", "wanted")
+        tokens = chosen.mapInArrow(to_tokens, "one long, two long, tokens array<bigint>").dropDuplicates(["one", "two"])
+        points = materialise(tokens.join(company, ["one", "two"]).select("one", "two", F.col("first").alias("place"), "tokens"), "line-points")
+        discard(company, picked)
+        return points
+
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("one")).distinct(), "line-ends")
+    points = points_of(ends)
+    matched = materialise(_later(pairs, points, num, den), "line-matched")
+    discard(ends, points, pairs)
+    # second round: sets that may have partners beyond the first ones, and matched none of those, against all sets of their regions
+    rest = materialise(unsettled.join(maybe_broadcast(matched.select(F.col("one").alias("y"))), "y", "left_anti"), "line-rest")
+    if not rest.isEmpty():
+
+        def to_keys(batches):
+            ranks = Ranks(*handle.value)
+            for batch in text_blocks(batches, limit=BLOCK):
+                found = Lines(as_bytes(batch.column("text")), least, ranks)
                 if len(found.ids):
-                    at, keys = _cells(found, np.arange(len(found.ids)), num, den)
-                    yield pa.RecordBatch.from_arrays([_signed(keys), _signed(found.prints()[0][at])], ["cell", "one"])
-
-        by_cell = materialise(docs.mapInArrow(to_cells, "cell long, one long").join(wanted, "one", "left_semi").distinct(), "line-cells")
-        shared = by_cell.groupBy("cell").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high")
-        links = links.union(by_cell.join(shared, "cell").where("one <> low").select(F.col("one").alias("a"), F.col("low").alias("b")))
-    islands = materialise(components(materialise(links.distinct(), "line-links")), "line-islands")
-
-    # one line's tokens for each set that has company
-    company = sets.join(_maybe_broadcast(islands), F.col("one") == F.col("node"))
-    company = materialise(company.select(F.col("root").alias("region"), "one", "two", "first.doc_id", "first.th", "first.line", "first"), "company")
-
-    def to_tokens(batches):
-        for batch in text_blocks(batches, limit=BLOCK):
-            found = Lines(as_bytes(batch.column("text")), least)
-            wanted = [set(x) for x in batch.column("wanted").to_pylist()]
-            some = [i for i in range(len(found.ids)) if int(found.number[i]) in wanted[int(found.owner[i])]]
-            one, two = found.prints()
-            yield pa.RecordBatch.from_arrays([_signed(one[some]), _signed(two[some]), pa.array([s.tobytes() for s in found.sets(some)], pa.binary())], ["one", "two", "tokens"])
-
-    picked = materialise(company.groupBy("doc_id", "th").agg(F.collect_set("line").alias("wanted")), "picked")
-    picked = _maybe_broadcast(picked, BROADCAST_ROWS // 4).withColumnsRenamed({"doc_id": "d", "th": "t"})
-    tokens = docs.join(picked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("text", "wanted").mapInArrow(to_tokens, "one long, two long, tokens binary").dropDuplicates(["one", "two"])
-    # earlier and later within an island: by the first occurrence's place
-    ranked = _maybe_broadcast(company.select("region", "one", "two", F.col("first").alias("place")))
-    points = materialise(tokens.join(ranked, ["one", "two"]).select("region", "one", "two", "place", "tokens"), "line-points")
-    matched = materialise(_matched_sets(points, num, den, island).distinct(), "matched").withColumn("matched", F.lit(True))
-
-    busy = materialise(sets.join(_maybe_broadcast(matched), ["one", "two"], "left").where("n > 1 or matched").select("one", "two", "first", F.coalesce("matched", F.lit(False)).alias("matched")), "busy")
-    removed = lines.join(_maybe_broadcast(busy), ["one", "two"]).where(F.col("matched") | ~F.col("first").eqNullSafe(place))
-    removed = materialise(removed.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
-    removed = _maybe_broadcast(removed, BROADCAST_ROWS // 2).withColumnsRenamed({"doc_id": "__d", "th": "__t", "removed": "__removed"})
+                    one, _ = found.prints()
+                    line, key, _ = found.keys(ranks, n_lines, num, den, hot)
+                    wide = (_bucket_of(key, bits) << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(wide), _signed(one[line])], ["key", "x"])
+
+        known = docs.select("text").mapInArrow(to_keys, "key long, x long").join(maybe_broadcast(materialise(rest.select("key").distinct(), "line-keys")), "key", "left_semi").distinct()
+        known = materialise(known, "line-known")
+        more = salted_join(known, "key", rest.withColumnRenamed("key", "of"), "of", "x", known).where("x <> y")
+        more = materialise(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-more")
+        points = points_of(materialise(more.select(F.explode(F.array("a", "b")).alias("one")).distinct(), "line-ends"))
+        matched = materialise(matched.union(_later(more, points, num, den)).distinct(), "line-matched")
+        discard(known, points, more)
+
+    matched = matched.withColumn("matched", F.lit(True))
+    busy = materialise(sets.join(maybe_broadcast(matched), ["one", "two"], "left").where("n > 1 or matched").select("one", "two", "first", F.coalesce("matched", F.lit(False)).alias("matched")), "line-busy")
+    removed = lines.join(maybe_broadcast(busy), ["one", "two"]).where(F.col("matched") | ~F.col("first").eqNullSafe(place))
+    removed = materialise(removed.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("removed")), "line-removed")
+    discard(found, sets, matched, busy, rest)
+    removed = maybe_broadcast(removed).withColumnsRenamed({"doc_id": "__d", "th": "__t", "removed": "__removed"})
 
     rest = [c for c in documents.columns if c not in ("n_lines", "n_removed", "removed")]
     joined = documents.select(*rest).join(removed, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, materialise, mix, text_blocks, word_hashes
+from weftline.llm.common import as_bytes, discard, materialise, maybe_broadcast, mix, text_blocks, word_hashes
 from weftline.llm.components import components
 
 SHINGLE = 3
@@ -28,8 +28,6 @@ SHINGLE = 3
 NUM, DEN = 90, 100
 #: Documents and shingles of an island that one task joins.
 ISLAND_ROWS, ISLAND_SHINGLES = 512, 1 << 19
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
 BRUTE = 16
 #: Classes of a game from which a set with empty ones has a single prefix instead of one a class.
 WIDE = 64
@@ -333,11 +331,6 @@ def _by_blocks(now: DataFrame, stuck: DataFrame, num: int, den: int) -> DataFram
     return left.groupBy("region", "i", "j").cogroup(right.groupBy("region", "i", "j")).applyInArrow(_cross(num, den), "a string, b string")
 
 
-def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a materialised side only if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, shingles: int) -> DataFrame:
     """Per document row: doc_id, th (hash of the text), n (shingles), own and first: the places of the row and of its component's first row.
 
@@ -376,20 +369,20 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
     islands = materialise(components(materialise(chained, "chained")), "islands")
 
     # the shingles of one document for each set that has company
-    wanted = sets.join(_maybe_broadcast(islands), F.col("one") == F.col("node"))
+    wanted = sets.join(maybe_broadcast(islands), F.col("one") == F.col("node"))
     wanted = materialise(wanted.select("one", "two", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"), F.col("root").cast("string").alias("region")), "wanted")
-    side = _maybe_broadcast(wanted)
+    side = maybe_broadcast(wanted)
     texts = docs.join(side.select("d", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("text")
     points = texts.mapInArrow(to_points, "one long, two long, shingles binary").join(side.select("one", "two", "region"), ["one", "two"])
     points = points.select("region", F.format_string("%016x%016x", "one", "two").alias("id"), "shingles").dropDuplicates(["id"])
     links = materialise(metric_links(materialise(points, "points"), num, den, rows, shingles), "links")
 
     joined = materialise(components(links), "joined")
-    named = sets.withColumn("id", F.format_string("%016x%016x", "one", "two")).join(_maybe_broadcast(joined), F.col("id") == F.col("node"), "left")
+    named = sets.withColumn("id", F.format_string("%016x%016x", "one", "two")).join(maybe_broadcast(joined), F.col("id") == F.col("node"), "left")
     smallest = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component"))
-    smallest = _maybe_broadcast(materialise(smallest, "smallest"))
+    smallest = maybe_broadcast(materialise(smallest, "smallest"))
     labels = named.where("root is not null or copies > 1").join(smallest, F.col("root") == F.col("r"), "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
-    labels = _maybe_broadcast(materialise(labels, "labels"))
+    labels = maybe_broadcast(materialise(labels, "labels"))
     found = known.join(labels, ["one", "two"], "left")
     return found.select("doc_id", "th", "n", place.alias("own"), F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(place).alias("first"))
 
@@ -414,8 +407,8 @@ def keep_first(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: i
     gone = materialise(found.where("own <> first").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "gone")
     again = materialise(found.where("n > 0 and own = first").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")), "again")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-    kept = documents.join(_maybe_broadcast(gone), same, "left_anti")
+    kept = documents.join(maybe_broadcast(gone), same, "left_anti")
     if again.isEmpty():
         return kept
-    again = _maybe_broadcast(again)
+    again = maybe_broadcast(again)
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
