@@ -35,7 +35,9 @@ HOT, DEPTH, EXTENDED = 1 << 12, 4, 20
 #: Entries a bucket is planned for, and those that a task holds of one at once.
 BUCKET, HELD = 1 << 18, 1 << 20
 #: Candidates of a line in a region's first round, and partners that it is held against there.
-FIRST, STEPS = 8, 1 << 13
+FIRST, STEPS = 32, 1 << 13
+#: Regions of the second round (8 bytes each) that every task may be told of; beyond it, they are joined.
+TOLD = 1 << 20
 #: Bytes of text whose lines a task sorts at once; their arrays take some thirty times that.
 BLOCK = 2 << 20
 
@@ -203,13 +205,13 @@ def frequent_tokens(docs: DataFrame, size: int = TABLE) -> tuple[np.ndarray, np.
 
     # the row without a token holds the sums, so it comes first
     found = docs.select("text").mapInArrow(run, "token long, n long, lines long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
-    found = found.orderBy(F.col("token").isNotNull(), F.desc("n"), "token").limit(size + 1).toPandas()
-    if not len(found):
+    found = found.orderBy(F.col("token").isNotNull(), F.desc("n"), "token").limit(size + 1).toArrow()
+    if not found.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
-    total, found = found.iloc[0], found.iloc[1:]
-    words, counts = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    counts = found["n"].to_numpy()
+    words = found["token"].slice(1).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], counts[order], int(total["n"]), int(total["lines"])
+    return words[order], counts[1:][order], int(counts[0]), int(found["lines"][0].as_py())
 
 
 #: Columns of the entries of a bucket, one after the other: key within the bucket, size, reach, set, place of the document, bitmap.
@@ -457,17 +459,22 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
     rest = materialise(unsettled.join(maybe_broadcast(matched.select(F.col("one").alias("y"))), "y", "left_anti"), "line-rest")
     if not rest.isEmpty():
 
+        keys = materialise(rest.select("key").distinct(), "line-keys")
+        told = keys.count() <= TOLD
+        wanted = documents.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy()) if told else None)
+
         def to_keys(batches):
             ranks = Ranks(*handle.value)
             for batch in text_blocks(batches, limit=BLOCK):
                 found = Lines(as_bytes(batch.column("text")), least, ranks)
                 if len(found.ids):
-                    one, _ = found.prints()
                     line, key, _ = found.keys(ranks, n_lines, num, den, hot)
                     wide = (_bucket_of(key, bits) << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(wide), _signed(one[line])], ["key", "x"])
+                    some = slice(None) if wanted.value is None else np.isin(wide, wanted.value)
+                    yield pa.RecordBatch.from_arrays([pa.array(wide[some]), _signed(found.prints()[0][line[some]])], ["key", "x"])
 
-        known = docs.select("text").mapInArrow(to_keys, "key long, x long").join(maybe_broadcast(materialise(rest.select("key").distinct(), "line-keys")), "key", "left_semi").distinct()
+        known = docs.select("text").mapInArrow(to_keys, "key long, x long").distinct()
+        known = known if told else known.join(keys, "key", "left_semi")
         known = materialise(known, "line-known")
         more = salted_join(known, "key", rest.withColumnRenamed("key", "of"), "of", "x", known).where("x <> y")
         more = materialise(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-more")
