@@ -36,8 +36,6 @@ HOT, DEPTH, EXTENDED = 1 << 12, 4, 20
 BUCKET, HELD = 1 << 18, 1 << 20
 #: Candidates of a line in a region's first round, and partners that it is held against there.
 FIRST, STEPS = 32, 1 << 13
-#: Regions of the second round (8 bytes each) that every task may be told of; beyond it, they are joined.
-TOLD = 1 << 20
 #: Bytes of text whose lines a task sorts at once; their arrays take some thirty times that.
 BLOCK = 2 << 20
 
@@ -319,13 +317,13 @@ class Join:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out, unsettled))
 
     def regions(self, batches) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket: candidates (a, b), unsettled sets (a, key), and the lines as they came."""
+        """Rows sorted by bucket: candidates (a, b), regions with unsettled sets (a, key, th: 1 if unsettled), and the lines as they came."""
         bucket, parts, count, split = None, [], 0, np.zeros(0, np.uint32)
         kind = pa.int64()
 
-        def out(a, b=None, key=None):
+        def out(a, b=None, key=None, unsettled=None):
             n = len(a)
-            columns = [_signed(a), pa.nulls(n, pa.int64()) if b is None else _signed(b), pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+            columns = [_signed(a), *(pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (b, key)), pa.nulls(n, kind), pa.nulls(n, pa.int64()) if unsettled is None else pa.array(unsettled), pa.nulls(n, pa.int32())]
             return pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "doc_id", "th", "line"])
 
         def distinct(e: Entries) -> Entries:
@@ -355,7 +353,8 @@ class Join:
                 open_ = np.union1d(open_, np.flatnonzero(np.isin(e["key"], split)))
             found = [out(e["one"][x], e["one"][y])] if len(x) else []
             if len(open_):
-                found.append(out(e["one"][open_], key=(np.int64(bucket) << 32) | e["key"][open_].astype(np.int64)))
+                region = np.flatnonzero(np.isin(e["key"], e["key"][open_]))
+                found.append(out(e["one"][region], key=(np.int64(bucket) << 32) | e["key"][region].astype(np.int64), unsettled=np.isin(region, open_).astype(np.int64)))
             return found, keep
 
         def finish():
@@ -431,7 +430,7 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "line")
     sets = materialise(lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-sets")
     pairs = materialise(found.where("line is null and b is not null").select("a", "b").distinct(), "line-pairs")
-    unsettled = found.where("line is null and key is not null").select(F.col("a").alias("y"), "key").distinct()
+    regions = found.where("line is null and key is not null").select(F.col("a").alias("x"), "key", F.col("th").alias("unsettled"))
 
     def points_of(ones: DataFrame) -> DataFrame:
         """(one, two, place, tokens) of the sets, from their first occurrences."""
@@ -456,25 +455,10 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
     matched = materialise(_later(pairs, points, num, den), "line-matched")
     discard(ends, points, pairs)
     # second round: sets that may have partners beyond the first ones, and matched none of those, against all sets of their regions
+    unsettled = regions.where("unsettled = 1").select(F.col("x").alias("y"), "key").distinct()
     rest = materialise(unsettled.join(maybe_broadcast(matched.select(F.col("one").alias("y"))), "y", "left_anti"), "line-rest")
     if not rest.isEmpty():
-
-        keys = materialise(rest.select("key").distinct(), "line-keys")
-        told = keys.count() <= TOLD
-        wanted = documents.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy()) if told else None)
-
-        def to_keys(batches):
-            ranks = Ranks(*handle.value)
-            for batch in text_blocks(batches, limit=BLOCK):
-                found = Lines(as_bytes(batch.column("text")), least, ranks)
-                if len(found.ids):
-                    line, key, _ = found.keys(ranks, n_lines, num, den, hot)
-                    wide = (_bucket_of(key, bits) << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    some = slice(None) if wanted.value is None else np.isin(wide, wanted.value)
-                    yield pa.RecordBatch.from_arrays([pa.array(wide[some]), _signed(found.prints()[0][line[some]])], ["key", "x"])
-
-        known = docs.select("text").mapInArrow(to_keys, "key long, x long").distinct()
-        known = known if told else known.join(keys, "key", "left_semi")
+        known = regions.join(maybe_broadcast(rest.select("key").distinct()), "key", "left_semi").select("key", "x").distinct()
         known = materialise(known, "line-known")
         more = salted_join(known, "key", rest.withColumnRenamed("key", "of"), "of", "x", known).where("x <> y")
         more = materialise(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-more")
