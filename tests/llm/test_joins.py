@@ -105,8 +105,8 @@ def test_lines_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
-@pytest.mark.parametrize(("size", "num", "rows_a_task"), [(3, 90, 512), (5, 80, 12)])
-def test_components(spark, size, num, rows_a_task):
+@pytest.mark.parametrize(("size", "num", "limits"), [(3, 90, {}), (5, 80, {"rows": 12}), (5, 80, {"bucket": 64, "held": 128}), (3, 90, {"held": 20})])
+def test_components(spark, size, num, limits):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 12, 30, 60, 150]))] for _ in range(6)]
     rows = []
@@ -117,7 +117,7 @@ def test_components(spark, size, num, rows_a_task):
         rows.append((k if k % 37 else None, " ".join(w)))
     rows += [(7, rows[7][1]), (1000, None), (1001, ""), (1002, "a"), (1003, "A"), (1004, "a b")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, one int").repartition(4)
-    found = ngram_join.jaccard_components(docs, size, num, 100, rows=rows_a_task)
+    found = ngram_join.jaccard_components(docs, size, num, 100, **limits)
     assert sorted((str(r[0]), r[1], str(r[2])) for r in found.collect()) == brute_components(rows, size, num, 100)
 
 
@@ -136,6 +136,22 @@ def test_components_of_links(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 5: 5}
 
 
+def test_sampled_shingles_of_linked_sets():
+    """Of two linked sets, each meets all of its sample but what the link may leave out, also across the border of WHOLE."""
+    rng = np.random.default_rng(8)
+    for n in (3, 12, 50, 64, 70, 80, 90, 400):
+        for num in (80, 90):
+            for _ in range(30):
+                x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                drop, add = int(rng.integers(0, n // 8 + 1)), int(rng.integers(0, n // 8 + 1))
+                y = np.unique(np.concatenate([x[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+                both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+                if 100 * both >= num * union:
+                    (_, a, p, (m,), _), (_, b, q, (k,), _) = (ngram_join.sampled([s], num, 100, 0) for s in (x, y))
+                    assert np.isin(a[p == 0], b).sum() >= m - (100 - num) * len(x) // 100
+                    assert np.isin(b[q == 0], a).sum() >= k - (100 - num) * len(y) // 100
+
+
 def test_cells_share(seed=2):
     rng = np.random.default_rng(seed)
     for n in (10, 11, 19, 40, 200, 900):

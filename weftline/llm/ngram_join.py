@@ -3,7 +3,9 @@
 The space of shingle sets is almost discrete: unrelated documents all lie at distance 1, so document pivots drawn
 from the whole corpus separate nothing. The join therefore goes from coarse to fine, exactly at each step:
 
-1. Equal sets collapse to one point each.
+1. Equal sets collapse to one point each, and documents that cannot have a link drop out: a link leaves a bounded number
+   of a document's shingles outside the other one, so of any sample of them (those whose hash lies below a border) all
+   but that many must occur elsewhere. Samples are counted in packed buckets by hash.
 2. Coarse cells. A link allows at most t different shingles for its sizes. The shingle universe is cut into t + 1
    classes; two linked sets agree wholly on some class. Sets that agree on a class share a cell. Cells chain into
    islands; every link lies inside an island, and inside one distances are informative.
@@ -29,6 +31,12 @@ NUM, DEN = 90, 100
 #: Documents and shingles of an island that one task joins.
 ISLAND_ROWS, ISLAND_SHINGLES = 512, 1 << 19
 BRUTE = 16
+#: Share of the shingles that is sampled beyond those that a link may leave out; sets of up to so many shingles are sampled whole.
+SAMPLE, WHOLE = 0.15, 64
+#: Bytes of text whose cells a task makes at once; a long text has some eight bytes of cells a byte.
+CELL_BYTES = 1 << 19
+#: Sampled shingles a bucket is planned for, and those a task holds of one at once.
+BUCKET, HELD = 1 << 20, 1 << 21
 #: Classes of a game from which a set with empty ones has a single prefix instead of one a class.
 WIDE = 64
 
@@ -136,6 +144,88 @@ def cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(keys)
 
 
+#: The place of a sampled shingle that needs no answer.
+NOBODY = 0xFFFFFFFF
+
+
+def sampled(sets: list[np.ndarray], num: int, den: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, hash, place) of a block's sampled shingles, once each; sample sizes of the sets, and those met again within the block.
+
+    `place` is the set's number, or NOBODY if no answer is needed: other sets of the block have the shingle too, or
+    the set is so little larger than WHOLE that only its partners are sampled whole.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+    spread = mix(flat, 50)
+    below = mix(flat, 51) < np.uint64(int(((den - num) / den + SAMPLE) * (1 << 64)))
+    asks = below | (sizes <= WHOLE)[owner]
+    some = asks | (num * sizes <= den * WHOLE)[owner]
+    spread, owner, asks = spread[some], owner[some], asks[some]
+    order = np.argsort(spread, kind="stable")
+    spread, owner, asks = spread[order], owner[order], asks[order]
+    head = np.ones(len(spread), bool)
+    head[1:] = spread[1:] != spread[:-1]
+    run = np.cumsum(head) - 1
+    alone = (np.bincount(run, minlength=run[-1] + 1 if len(run) else 0) == 1)[run]
+    here = np.bincount(owner[asks & ~alone], minlength=len(sets))
+    place = np.where(alone & asks, owner, NOBODY)[head]
+    bucket = (spread[head] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(int(head.sum()), np.int64)
+    return bucket, spread[head].astype(np.uint32), place.astype(np.uint32), np.bincount(owner[asks], minlength=len(sets)), here
+
+
+def _met(held: int):
+    """Rows sorted by bucket: how many of its sampled shingles each set meets in other blocks, by bucket; profiles pass through."""
+
+    def count(block, key, place, last: bool):
+        """What is shared among the held entries, and what to go on with: one entry a shingle."""
+        order = np.argsort(key, kind="stable")
+        block, key, place = block[order], key[order], place[order]
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        run = np.cumsum(head) - 1
+        shared = (np.bincount(run) > 1)[run]
+        some = shared & (place != NOBODY)
+        who, n = np.unique(np.stack([block[some], place[some].astype(np.int64)]), axis=1, return_counts=True)
+        rest = None if last else (block[head], key[head], np.where(shared[head], np.uint32(NOBODY), place[head]))
+        return who, n, rest
+
+    def run(batches):
+        bucket, parts, total, kind = None, [], 0, pa.int64()
+
+        def out(who, n):
+            m = len(n)
+            return pa.RecordBatch.from_arrays([pa.array(who[0]), pa.array(who[1].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(m, kind), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.int32())], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"])
+
+        def finish():
+            nonlocal parts, total
+            if parts:
+                who, n, _ = count(*(np.concatenate(x) for x in zip(*parts, strict=True)), True)
+                yield out(who, n)
+            parts, total = [], 0
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            profile = np.asarray(batch.column("n").is_valid())
+            if profile.any():
+                own = batch.filter(pa.array(profile))
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in ("block", "place", "met", "doc_id", "th", "n", "one", "two", "sample")], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"])
+            rest = batch.filter(pa.array(~profile))
+            for b, block, blob in zip(rest.column("bucket").to_pylist(), rest.column("block").to_pylist(), rest.column("entries").to_pylist(), strict=True):
+                if b != bucket:
+                    yield from finish()
+                    bucket = b
+                m = len(blob) // 8
+                parts.append((np.full(m, block), np.frombuffer(blob, "<u4", m), np.frombuffer(blob, "<u4", m, 4 * m)))
+                total += m
+                if total > held:  # a frequent shingle's entries become one
+                    who, n, left = count(*(np.concatenate(x) for x in zip(*parts, strict=True)), False)
+                    yield out(who, n)
+                    parts, total = [left], 0
+        yield from finish()
+
+    return run
+
+
 class Sets:
     """Sets as slices of small integers, for counting intersections with one of them at a time."""
 
@@ -331,7 +421,7 @@ def _by_blocks(now: DataFrame, stuck: DataFrame, num: int, den: int) -> DataFram
     return left.groupBy("region", "i", "j").cogroup(right.groupBy("region", "i", "j")).applyInArrow(_cross(num, den), "a string, b string")
 
 
-def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, shingles: int) -> DataFrame:
+def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, shingles: int, bucket: int = BUCKET, held: int = HELD) -> DataFrame:
     """Per document row: doc_id, th (hash of the text), n (shingles), own and first: the places of the row and of its component's first row.
 
     A place is struct(doc_id is null, doc_id, th); documents without shingles are their own component.
@@ -340,13 +430,32 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
 
+    # some seven bytes a word, and so a shingle
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (int(volume / 7 * ((den - num) / den + SAMPLE)) // bucket).bit_length()
+    names = ["bucket", "entries", "block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"]
+
     def profile(batches):
         for batch in text_blocks(batches):
-            n, one, two = prints(shingle_sets(as_bytes(batch.column("text")), size))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), _signed(one), _signed(two)], ["doc_id", "th", "n", "one", "two"])
+            sets = shingle_sets(as_bytes(batch.column("text")), size)
+            n, one, two = prints(sets)
+            th = np.asarray(batch.column("th")).view(np.uint64)
+            # the same block has the same number when a task runs again
+            with np.errstate(over="ignore"):
+                block = int(mix(np.array([np.sum(mix(th, 61) * np.arange(1, 2 * len(th), 2, dtype=np.uint64)) + np.uint64(len(th))], np.uint64), 62).view(np.int64)[0])
+            at, key, place, sample, here = sampled(sets, num, den, bits)
+            m = len(sets)
+            ints = lambda x: pa.array(x.astype(np.int32))
+            deal = ints(mix(one ^ mix(th, 63)) >> np.uint64(33))
+            yield pa.RecordBatch.from_arrays([deal, pa.nulls(m, pa.binary()), pa.array(np.full(m, block)), ints(np.arange(m)), ints(here), batch.column("doc_id"), batch.column("th"), pa.array(n), _signed(one), _signed(two), ints(sample)], names)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]).tolist() if len(at) else [0]
+            blobs = [key[a:b].tobytes() + place[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            k = len(blobs)
+            none = [pa.nulls(k, pa.int64()) for _ in range(4)]
+            yield pa.RecordBatch.from_arrays([ints(at[edges[:-1]]), pa.array(blobs, pa.binary()), pa.array(np.full(k, block)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, batch.schema.field("doc_id").type), *none, pa.nulls(k, pa.int32())], names)
 
     def to_cells(batches):
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, limit=CELL_BYTES):
             sets = shingle_sets(as_bytes(batch.column("text")), size)
             row, cell = cells(sets, num, den)
             _, one, _ = prints(sets)
@@ -359,20 +468,29 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
             _, one, two = prints(sets)
             yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array([s.tobytes() for s in sets], pa.binary())], ["one", "two", "shingles"])
 
-    known = materialise(docs.mapInArrow(profile, f"doc_id {kind}, th long, n long, one long, two long"), "profiles")
-    sets = known.where("n > 0").groupBy("one", "two").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rest = f"block long, place int, met int, doc_id {kind}, th long, n long, one long, two long, sample int"
+    dealt = docs.mapInArrow(profile, f"bucket int, entries binary, {rest}").repartition("bucket").sortWithinPartitions("bucket")
+    counted = materialise(dealt.mapInArrow(_met(held), rest), "profiles")
+    known = counted.where("n is not null")
+    met = counted.where("n is null").groupBy("block", "place").agg(F.sum("met").alias("more"))
+    missing = F.floor(F.lit(den - num) * F.col("n") / F.lit(den))
+    asked = known.where("n > 0").join(met, ["block", "place"], "left").withColumn("can", F.col("met") + F.coalesce("more", F.lit(0)) >= F.col("sample") - missing)
+    sets = asked.groupBy("one", "two").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("can").alias("can"))
     sets = materialise(sets, "sets")
 
-    placed = materialise(docs.select("text").mapInArrow(to_cells, "cell long, one long"), "cells")
+    able = materialise(sets.where("can").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "able")
+    of = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("th") == F.col("t"))
+    placed = materialise(docs.join(maybe_broadcast(able), of, "left_semi").select("text").mapInArrow(to_cells, "cell long, one long"), "cells")
     shared = placed.groupBy("cell").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high")
     chained = placed.join(shared, "cell").where("one <> low").select(F.col("one").alias("a"), F.col("low").alias("b")).distinct()
     islands = materialise(components(materialise(chained, "chained")), "islands")
+    discard(able, placed)
 
     # the shingles of one document for each set that has company
     wanted = sets.join(maybe_broadcast(islands), F.col("one") == F.col("node"))
     wanted = materialise(wanted.select("one", "two", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"), F.col("root").cast("string").alias("region")), "wanted")
     side = maybe_broadcast(wanted)
-    texts = docs.join(side.select("d", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("text")
+    texts = docs.join(side.select("d", "t"), of, "left_semi").select("text")
     points = texts.mapInArrow(to_points, "one long, two long, shingles binary").join(side.select("one", "two", "region"), ["one", "two"])
     points = points.select("region", F.format_string("%016x%016x", "one", "two").alias("id"), "shingles").dropDuplicates(["id"])
     links = materialise(metric_links(materialise(points, "points"), num, den, rows, shingles), "links")
@@ -387,14 +505,15 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
     return found.select("doc_id", "th", "n", place.alias("own"), F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(place).alias("first"))
 
 
-def jaccard_components(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, rows: int = ISLAND_ROWS, shingles: int = ISLAND_SHINGLES) -> DataFrame:
+def jaccard_components(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN, rows: int = ISLAND_ROWS, shingles: int = ISLAND_SHINGLES, bucket: int = BUCKET, held: int = HELD) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included).
 
-    A null or wordless text has an empty set and is linked with nothing. Repeated rows are copies of each other. A
-    null doc_id takes part like any other, but is never the smallest; a component of nulls alone has a null id.
-    Further columns are ignored; an empty table gives an empty result.
+    A null or wordless text has an empty set and is linked with nothing. Very long texts take part whole. Repeated
+    rows are copies of each other. A null doc_id takes part like any other, but is never the smallest; a component of
+    nulls alone has a null id. A similarity just at the threshold is a link. Further columns are ignored, whatever
+    their names; an empty table gives an empty result. Words and shingles are told by 64 bits of hash.
     """
-    found = _labelled(documents, size, num, den, rows, shingles)
+    found = _labelled(documents, size, num, den, rows, shingles, bucket, held)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
 
 
