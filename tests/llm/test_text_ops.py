@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from weftline.llm import bpe, decontaminate, html_extract, language_id, license_scan, pii, quality, queries, url_filter
@@ -298,22 +299,62 @@ def test_pages(spark, extractor):
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule", "verdict"),
     [
-        (None, "", "", None, "block"), ("nothing", "", "", None, "block"), ("http://A.EXAMPLE.org/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"),
+        (None, "", "", None, None), ("nothing", "", "", None, None), ("http://A.EXAMPLE.org/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"),
         ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"), ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("ftp://x.com/de/1", "x.com", "/de/1", "com/de/", "block"),
-        ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"), ("http://x.org", "x.org", "", None, "allow"), ("http://x.com#a/fr/", "x.com", "", None, "allow"),
+        ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"), ("http://x.org", "x.org", "", None, None), ("http://x.com#a/fr/", "x.com", "", None, None),
     ],
 )
 def test_rules(url, host, path, rule, verdict):
     got = url_filter.train(*url_filter.labelled_urls(600)).judge([url])[0]
-    assert got[:3] == (host, path, rule) and (rule is None and host or got[3] == verdict)
+    assert got[:3] == (host, path, rule) and got[3] == (verdict or ("block" if got[4] >= 0.5 else "allow"))
+
+
+def brute_rule(host, path):
+    """Every rule against every suffix of the host, character by character."""
+    fits = [(len(rule), rule, verdict) for verdict, rule in url_filter.RULES for h, p in [(rule[: rule.index("/")], rule[rule.index("/") :])] if ("." + host).endswith("." + h) and path[: len(p)] == p]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_rules_brute(spark):
+    rng = random.Random(4)
+    pick = lambda *x: rng.choice(x)
+    urls = [None, "", "://", "http://", "x://com/de/"]
+    for _ in range(600):
+        host = pick("", "a.", "A.b.", "org.") + pick("example.org", "EXAMPLE.ORG", "xexample.org", "com", "org", "a.com", "net", "com.org", "example.orgs", "")
+        urls.append(pick("http", "", "ftp") + pick("://", "://", "://", ":/") + host + pick("", "/", "/fr/", "/de/", "/de", "/es/1", "/en/1", "/en/12/x", "/en/2", "/FR/") + pick("", "?q=/de/", "#/de/", "?a://com/de/"))
+    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, rule string")
+    for r in url_filter.judge_pages(pages, url_filter.train(*url_filter.labelled_urls(300))).collect():
+        url = urls[r.page_id] or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        rule, verdict = brute_rule(low_az(host), path)
+        assert (r.host, r.path, r.rule) == (low_az(host), path, rule)
+        assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+
+
+def low_az(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text)
 
 
 def test_trees_learn(spark):
-    model = url_filter.train(*url_filter.labelled_urls())
-    urls, bad = url_filter.labelled_urls(1000, seed=77)
-    assert sum((x[4] >= 0.5) == bool(y) for x, y in zip(model.judge(urls), bad, strict=True)) > 970
-    pages = spark.createDataFrame([(1, "http://news.example.net/a", "h"), (2, None, "h")], "page_id long, url string, host string")
-    assert [r.verdict for r in url_filter.judge_pages(pages, model).collect()] == ["allow", "block"]
+    """Held-out accuracy, which no feature reaches alone, and splits on every kind of feature."""
+    urls, bad = url_filter.labelled_urls()
+    model = url_filter.train(urls, bad)
+    held, truth = url_filter.labelled_urls(2000, seed=77)
+    right = lambda m, x: ((m.predict(x) >= 0.5) == truth).mean()
+    x = np.array([url_filter.features(u, model.odds) for u in held])
+    assert right(model.trees, x) > 0.92
+    learned = np.array([url_filter.features(u, model.odds) for u in urls])
+    assert max(right(url_filter.Boosted(learned[:, [j]], bad, trees=20), x[:, [j]]) for j in range(x.shape[1])) < right(model.trees, x) - 0.05
+    used = model.trees.splits()
+    assert all(used[f] >= 5 for f in ("url_length", "depth", "digit_ratio", "host_entropy", "path_entropy", "parameters", "suffix_odds"))
+    assert max(used.values()) < 0.3 * sum(used.values())
+    pages = spark.createDataFrame([(1, "http://news.example.net/a", "h"), (2, None, "h"), (3, "https://q8x2-k0zz-7714.top/" + "a9/" * 40000 + "?a=1&b=2&c=3&d=4", "h")], "page_id long, url string, host string")
+    found = {r.page_id: r for r in url_filter.judge_pages(pages, model).collect()}
+    assert found[1].verdict == "allow" and found[3].verdict == "block"
+    assert (found[2].host, found[2].path, found[2].rule) == ("", "", None)
+    assert url_filter.judge_pages(pages.limit(0), model).isEmpty()
 
 
 # --- language
@@ -339,3 +380,19 @@ def test_language(spark):
     assert kept.columns == docs.columns and {500, 501, 502} & {r.doc_id for r in kept.collect()} == set()
     assert kept.where("doc_id = 503").first().lang == "de"
     assert language_id.identify(docs.limit(0), language_id.train([], [])).isEmpty()
+    assert language_id.sample(docs.limit(0)) == ([], [])
+
+
+def test_language_cases(spark):
+    """Clashing names, repeated ids, a bound on languages, numbers that are no letters, very long texts."""
+    rows = [(7, "aaa bbb ccc", "xx"), (7, "aaa bbb", "xx"), (7, "aaa bbb", "xx"), (9, "zzz yyy", "yy"), (11, "zzz yyy xxx", "yy"), (13, "½ ²³ Ⅷ ٣", "yy"), (17, "zzz " * 300_000, "ww")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3.0, "k", 5, 6) for r in rows], "doc_id long, text string, lang string, d int, l int, share double, of string, k int, ids int")
+    ids = {k for k, _, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    want = sorted({(min(t for j, t, y in rows if (j, y) == (k, lang)), lang) for k, _, lang in rows if k in ids and lang != "ww"})
+    texts, labels = language_id.sample(docs)
+    assert sorted(zip(texts, labels, strict=True)) == want
+    top = max(sorted({y for _, y in want}), key=lambda lang: len({k for k, _, y in rows if y == lang and k in ids}))
+    assert set(language_id.sample(docs, languages=1)[1]) == {top}
+    found = language_id.identify(docs, language_id.train(["aaa bbb", "zzz yyy"], ["xx", "yy"])).collect()
+    assert [(r.doc_id, r.lang_pred) for r in found if r.doc_id in (13, 17)] == [(13, "und"), (17, "yy")]
+    assert not language_id.has_letter("½ ²³ Ⅷ _ 12") and all(map(language_id.has_letter, ["é", "字", "1a", "½ж"]))

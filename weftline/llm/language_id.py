@@ -28,7 +28,7 @@ BUCKETS, DIMENSIONS, GRAMS = 1 << 15, 24, (2, 3, 4)
 UNDETERMINED = "und"
 
 _ASCII_LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER, _OTHER = re.compile("[A-Za-z]"), re.compile(r"[^\W\x00-\x7F]+")
 
 
 def buckets(text: bytes, limit: int = 1 << 22):
@@ -47,7 +47,8 @@ def buckets(text: bytes, limit: int = 1 << 22):
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character of the text is a letter (Unicode category L; numbers like a half or a Roman eight are none)."""
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for m in _OTHER.finditer(text) for c in m.group()))
 
 
 class Model:
@@ -148,29 +149,40 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4
 
 
-def sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
+def sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
     """At most `per_language` labelled texts of each language, of at most `chars` characters: those of the least id hashes.
 
-    Only rows whose id leaves a remainder other than 2 count. Ids are chosen first; texts follow for the chosen only.
+    Only rows whose id leaves a remainder other than 2 count; of rows alike in id and language the least text. Beyond
+    `languages` languages the rarest are not learned, of equally rare ones those last by name. Ids are chosen first, by
+    a bound on their hashes that follows each language's number of ids, so no language is ever sorted whole.
     """
-    usable = documents.where(remainder() != 2).where("lang is not null and text is not null").where(F.length("text") <= chars)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    # per_language * LANGUAGES ids at most
-    chosen = chosen.select(F.col("lang").alias("l"), F.col("doc_id").alias("d")).limit(per_language * LANGUAGES)
-    rows = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l"))).select("text", "lang").toLocalIterator()
+    usable = documents.select("doc_id", "lang", "text").where(remainder() != 2).where("lang is not null and text is not null").where(F.length("text") <= chars)
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.05).alias("ids")).orderBy(F.desc("ids"), "lang").limit(languages).collect()
+    if not sizes:
+        return [], []
+    # four times the rows needed pass the bound on average, so too few do hardly ever
+    shares = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * per_language / max(r["ids"], 1))) for r in sizes], "of string, share double")
+    spread = F.xxhash64("doc_id")
+    near = usable.join(F.broadcast(shares), F.col("lang") == F.col("of")).where((spread / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    order = Window.partitionBy("lang").orderBy(spread, "doc_id")
+    chosen = near.select("lang", "doc_id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    # at most per_language * languages ids
+    chosen = chosen.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"))
+    found = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l"))).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     texts, labels = [], []
-    for r in rows:
-        texts.append(r[0])
-        labels.append(r[1])
+    for r in found.toLocalIterator():
+        texts.append(r["text"])
+        labels.append(r["lang"])
     return texts, labels
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """Per document row: doc_id, held_out, lang_pred, score, rejected.
 
-    The prediction sees the text alone. A null text, or one without letters, is `und` with score 0 and rejected; a null
-    doc_id is not held out. Repeated rows repeat their result; further columns are ignored.
+    The prediction sees the text alone, the whole of it however long. A null or empty text, or one without letters, is
+    `und` with score 0 and rejected; a null doc_id is not held out. Of equally probable languages the first by name
+    wins. Repeated rows repeat their result; further columns are ignored, whatever their names; an empty table gives an
+    empty result, as does training on none: then all texts with letters are `und` with score 1.
     """
     handle = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -189,7 +201,10 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model does not reject, all columns as they are; a null lang is filled with the prediction."""
+    """The rows that the model does not reject, all columns as they are; a null lang is filled with the prediction.
+
+    Texts null, empty or without letters are rejected. Repeated rows are kept or rejected alike, in their number.
+    """
     handle = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("lang") if "lang" in documents.columns else None
 

@@ -1,7 +1,8 @@
 """URL filters: rules by host and path prefix, and gradient-boosted trees on lexical features for the rest.
 
-No table labels URLs, so the labelled ones are made here by a rule: host and path shapes of commercial spam, betting,
-pharmacy, tracking and download farms against those of ordinary sites. `train` takes any other labelled URLs alike.
+No table labels URLs, so the labelled ones are made here by a rule: two families of sites whose lengths, depths, digits,
+entropies, parameters and suffixes are drawn from different but overlapping distributions. No feature looks at words,
+so the trees judge shapes alone. `train` takes any other labelled URLs alike.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Rules:
 
 
 _TOKEN = re.compile("[a-z]+|[0-9]+")
-FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "host_hyphens", "digit_ratio", "host_digit_ratio", "host_entropy", "path_entropy", "parameters", "query_length", "longest_token", "escapes", "suffix_odds", "token_odds")
+FEATURES = ("url_length", "host_length", "path_length", "depth", "host_labels", "host_hyphens", "digit_ratio", "host_digit_ratio", "host_entropy", "path_entropy", "parameters", "query_length", "longest_token", "escapes", "suffix_odds")
 
 
 def entropy(text: str) -> float:
@@ -62,22 +63,18 @@ def entropy(text: str) -> float:
 
 
 class Odds:
-    """Smoothed log odds of being blocked, by host suffix and by host token."""
+    """Smoothed log odds of being blocked by host suffix (the last label); a suffix never seen has none."""
 
-    def __init__(self, hosts: list[str], blocked: np.ndarray, smooth: float = 2.0):
-        self.suffix, self.token = {}, {}
+    def __init__(self, hosts: list[str], blocked: np.ndarray, smooth: float = 4.0):
         bad, all_ = Counter(), Counter()
         for host, y in zip(hosts, blocked.tolist(), strict=True):
-            for key in {("s", host.rpartition(".")[2]), *(("t", t) for t in _TOKEN.findall(host))}:
-                all_[key] += 1
-                bad[key] += y
-        for (kind, key), n in all_.items():
-            odds = math.log((bad[kind, key] + smooth) / (n - bad[kind, key] + smooth))
-            (self.suffix if kind == "s" else self.token)[key] = odds
+            key = host.rpartition(".")[2]
+            all_[key] += 1
+            bad[key] += y
+        self.suffix = {key: math.log((bad[key] + smooth) / (n - bad[key] + smooth)) for key, n in all_.items()}
 
-    def of(self, host: str) -> tuple[float, float]:
-        found = [self.token[t] for t in _TOKEN.findall(host) if t in self.token]
-        return self.suffix.get(host.rpartition(".")[2], 0.0), max(found, key=abs, default=0.0)
+    def of(self, host: str) -> float:
+        return self.suffix.get(host.rpartition(".")[2], 0.0)
 
 
 def features(url: str, odds: Odds) -> list[float]:
@@ -88,14 +85,14 @@ def features(url: str, odds: Odds) -> list[float]:
     return [
         len(url), len(host), len(path), sum(map(bool, path.split("/"))), host.count(".") + 1 if host else 0, host.count("-"),
         digits / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)), entropy(host), entropy(path),
-        sum(map(bool, query.split("&"))), len(query), max(map(len, tokens), default=0), url.count("%"), *odds.of(host),
+        sum(map(bool, query.split("&"))), len(query), max(map(len, tokens), default=0), url.count("%"), odds.of(host),
     ]
 
 
 class Boosted:
     """Logistic gradient boosting of small trees, split on quantile bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 8, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 8, ridge: float = 1.0):
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(self.cuts)], 1)
         p = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -139,6 +136,10 @@ class Boosted:
         tree[number] = (j, self.cuts[j][k], left, right)
         return number
 
+    def splits(self) -> Counter:
+        """How many nodes split on each feature."""
+        return Counter(FEATURES[node[0]] for tree in self.trees for node in tree if node[0] != "leaf")
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Probability of being blocked."""
         f = np.full(len(x), self.base)
@@ -157,36 +158,54 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-# Words of the labelled URLs.
-_SPAM = "casino poker bet bets betting win jackpot slots lottery pills pill viagra pharmacy meds cheap free discount deals spam farm ads ad track tracker click clicks promo bonus loan loans payday crypto adult xxx porn cam escort replica warez crack keygen torrent seo backlinks followers diet".split()
-_PLAIN = "news blog garden kitchen history science music travel school library museum river mountain city review journal weather sport health family house paper photo studio market lab forum wiki docs help support shop cafe theatre archive research council parish club".split()
-_SECTIONS = "en de fr es about article articles post posts story wiki page blog news docs guide archive item".split()
-_ENDINGS = "com net org info example.com example.net example.org co.uk io de fr es".split()
+#: Suffixes of the labelled URLs by family, with their weights: both families use most of them.
+ORDINARY_SUFFIXES = {"com": 40, "org": 14, "net": 10, "edu": 5, "gov": 3, "io": 4, "info": 4, "uk": 6, "de": 7, "fr": 6, "es": 5, "xyz": 1, "top": 1, "biz": 1}
+BLOCKED_SUFFIXES = {"com": 28, "org": 3, "net": 10, "io": 2, "info": 12, "uk": 1, "de": 2, "fr": 2, "es": 2, "xyz": 14, "top": 12, "biz": 6, "click": 6}
+_VOWELS, _CONSONANTS, _MIXED = "aeiou", "bcdfghjklmnprstvwz", "abcdefghijklmnopqrstuvwxyz0123456789"
+
 
+def labelled_urls(n: int = 6000, seed: int = 5) -> tuple[list[str], np.ndarray]:
+    """URLs and whether to block them, one in three, by the module's rule.
 
-def labelled_urls(n: int = 3000, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """URLs and whether to block them, by the module's rule; ordinary and spam sites share hosts' endings and paths' shapes."""
+    Ordinary sites have short pronounceable names, paths of words, dates or numbers, few parameters. Blocked ones have
+    longer hosts with more labels, hyphens and digits, random strings, deep paths, many parameters. Every trait of the
+    one family occurs in the other, less often, and the traits of a site are drawn independently.
+    """
     rng = np.random.default_rng(seed)
-    one = lambda words: words[int(rng.integers(len(words)))]
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    chance = lambda ordinary, blocked: rng.random() < (blocked if bad else ordinary)
+    few = lambda ordinary, blocked: int(rng.poisson(blocked if bad else ordinary))
+    drawn = lambda letters, k: "".join(letters[i] for i in rng.integers(len(letters), size=k))
+
+    def word():
+        return "".join(drawn(_CONSONANTS, 1) + drawn(_VOWELS, 1) + drawn(_CONSONANTS, int(rng.integers(2))) for _ in range(int(rng.integers(1, 4))))
+
+    def part():
+        """A segment of a path: a random string, a number, a slug or a word."""
+        if chance(0.08, 0.35):
+            return drawn(_MIXED, int(rng.integers(6, 28)))
+        if chance(0.25, 0.3):
+            return drawn("0123456789", int(rng.integers(1, 9 if bad else 6)))
+        return "-".join(word() for _ in range(1 + few(0.8, 0.8))) + (".html" if chance(0.15, 0.15) else "")
+
     urls, blocked = [], []
     for k in range(n):
         bad = k % 3 == 0
-        if bad:
-            name = "-".join(one(_SPAM) for _ in range(int(rng.integers(2, 4)))) if rng.random() < 0.85 else one(_SPAM) + str(int(rng.integers(10, 9999)))
-        else:
-            pick = rng.random()
-            name = one(_PLAIN) + one(["", "", one(_PLAIN), "-" + one(_PLAIN)]) if pick < 0.5 else "".join(one(syllables) for _ in range(int(rng.integers(2, 6))))
-        host = one(["", "", "www.", "m.", "blog."]) + name + "." + one(_ENDINGS)
-        path = "".join("/" + one(_SECTIONS) for _ in range(int(rng.integers(0, 3)))) + one(["", "/", f"/{int(rng.integers(1000))}", f"/{int(rng.integers(1000))}.html", f"/{int(rng.integers(1000))}/"])
-        query = one(["", "", "", "?page=2", "?page=2&ref=x", "?utm_source=feed", "#top"]) if not bad or rng.random() < 0.7 else "?" + "&".join(f"{one(syllables)}={int(rng.integers(10**6))}" for _ in range(int(rng.integers(2, 6))))
-        urls.append(one(["http://", "https://"]) + host + path + query)
+        name = drawn(_MIXED, int(rng.integers(8, 22))) if chance(0.04, 0.3) else "-".join(word() for _ in range(1 + few(0.25, 1.3)))
+        name += drawn("0123456789", int(rng.integers(1, 5))) if chance(0.05, 0.3) else ""
+        labels = [word() for _ in range(few(0.35, 0.9))]
+        ends = BLOCKED_SUFFIXES if bad else ORDINARY_SUFFIXES
+        suffix = list(ends)[int(rng.choice(len(ends), p=np.array(list(ends.values())) / sum(ends.values())))]
+        path = "".join("/" + part() for _ in range(few(2.0, 3.2))) + ("/" if chance(0.4, 0.4) else "")
+        if chance(0.04, 0.2):
+            path += "%" + drawn("0123456789ABCDEF", 2) + word()
+        query = "&".join(f"{word()[:4]}={drawn(_MIXED if chance(0.3, 0.7) else _CONSONANTS, int(rng.integers(1, 14 if bad else 8)))}" for _ in range(few(0.35, 1.8)))
+        urls.append(("https://" if chance(0.8, 0.6) else "http://") + ".".join([*labels, name, suffix]) + path + ("?" + query if query else ""))
         blocked.append(bad)
     return urls, np.array(blocked, float)
 
 
 class Filter:
-    """Rules first, trees for the rest; a url without a host is blocked as no page can have it."""
+    """Rules first, trees for the rest, those without a host included."""
 
     def __init__(self, odds: Odds, trees: Boosted, rules=RULES, bound: float = 0.5):
         self.odds, self.trees, self.rules, self.bound = odds, trees, Rules(rules), bound
@@ -198,12 +217,12 @@ class Filter:
         for url, score in zip(urls, scores.tolist(), strict=True):
             host, path = host_and_path(url)
             rule, verdict = self.rules.find(host, path)
-            out.append((host, path, rule, verdict or ("block" if score >= self.bound or not host else "allow"), score))
+            out.append((host, path, rule, verdict or ("block" if score >= self.bound else "allow"), score))
         return out
 
 
 def train(urls: list[str], blocked: np.ndarray, rules=RULES) -> Filter:
-    """Suffix and token statistics come from one half of the labelled URLs, the trees from the other, so that they don't trust them too much."""
+    """Suffix statistics come from one half of the labelled URLs, the trees from the other, so that they don't trust them too much."""
     half = np.arange(len(urls)) % 2 == 0
     odds = Odds([host_and_path(u)[0] for u, h in zip(urls, half, strict=True) if h], blocked[half])
     x = np.array([features(u, odds) for u, h in zip(urls, half, strict=True) if not h], float)
@@ -213,8 +232,10 @@ def train(urls: list[str], blocked: np.ndarray, rules=RULES) -> Filter:
 def judge_pages(pages: DataFrame, model: Filter | None = None) -> DataFrame:
     """Per page row: page_id, host, path, rule, verdict, score.
 
-    A null url, or one without ://, has an empty host and path, no rule, and is blocked. Repeated rows repeat their
-    result; further columns are ignored.
+    A null url, or one without ://, has an empty host and path and no rule, and is judged by the trees as it stands (a
+    null one like an empty one). Very long urls are judged whole. Of equally long rules the later one wins; a
+    probability just at the bound blocks. Repeated rows repeat their result; further columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
     handle = pages.sparkSession.sparkContext.broadcast(model or train(*labelled_urls()))
 
