@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import weakref
 
@@ -17,6 +18,7 @@ from weftline.sources.tables import shared_folder, table  # noqa: F401
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _TO_SPACE = bytes(0x20 if b in SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -24,9 +26,16 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, whichever executor is lost later."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
+    # rows hold whole texts or packed entries, so ten thousand of them are much for the JVM's and the worker's copies of a batch
+    usual = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(usual), 1000))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, usual)
+    out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out
 
@@ -88,6 +97,16 @@ def text_blocks(batches, column: str = "text", limit: int = BATCH_BYTES):
         for end in [*edges.tolist(), n]:
             yield batch.slice(at, end - at)
             at = end
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -191,7 +191,7 @@ def frequent_tokens(docs: DataFrame, size: int = TABLE) -> tuple[np.ndarray, np.
             n_lines += sum(t.count(b"\n") + 1 for t in texts if t)
             held.append(np.unique(words, return_counts=True))
             total += len(held[-1][0])
-            if total > 1 << 20:
+            if total > 1 << 19:
                 held = [merged(1 << 18)]
                 total = len(held[0][0])
         if held:
