@@ -172,9 +172,11 @@ def test_decontaminate(spark, block):
     docs = rows_of(spark, [*texts, texts[5]])
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, n int")
     found = decontaminate.decontaminate(docs, bench, block_bytes=block).collect()
-    for r, text in zip(found, [*texts, texts[5]], strict=True):
+    want = []
+    for k, text in enumerate([*texts, texts[5]]):
         n, hit, owners = brute_hits(text, items)
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(owners), hashlib.sha256(",".join(owners).encode()).hexdigest(), hit > 0)
+        want.append((str(k if k % 5 else None), n, hit, len(owners), hashlib.sha256(",".join(owners).encode()).hexdigest(), hit > 0))
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == sorted(want)
     kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns and kept.count() == sum(not r.contaminated for r in found)
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").isEmpty()

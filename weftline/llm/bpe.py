@@ -24,10 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import text_blocks
+from weftline.llm.common import small_batches, text_blocks
 
-#: Distinct whitespace chunks that a worker remembers before it starts afresh.
-CACHE = 1 << 18
+#: Distinct whitespace chunks, and pre-tokens, that a worker remembers before it starts afresh.
+CACHE, PIECES = 1 << 18, 1 << 17
+#: Characters of a text that are normalised and cut at once, and tokens that are hashed at once.
+SEGMENT, FLUSH = 1 << 16, 4096
 #: Characters of a pre-token up to which it is encoded at once.
 CHUNK = 4096
 
@@ -52,8 +54,7 @@ class Bpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ids = self.vocab
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
-        self.rank = {pair: rank for pair, (rank, _) in self.ranks.items()}
+        self.rank = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
         self.made_by, self.never = [ids[a + b] for a, b in merges], len(merges)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.pieces = {i: s for s, i in [*self.vocab.items(), *self.added.items()]}
@@ -80,8 +81,8 @@ class Bpe:
         length = {i: len(s.removesuffix(self.suffix) if self.suffix else s) for s, i in self.vocab.items()}
         best: dict[int, int] = {}
         most, self.longest = 0, max(length.values(), default=1)
-        for (left, right), (_, made) in sorted(self.ranks.items(), key=lambda x: -x[1][0]):
-            reach = length[left] + max(best.get(left, 0), best.get(made, 0))
+        for (left, right), rank in sorted(self.rank.items(), key=lambda x: -x[1]):
+            reach = length[left] + max(best.get(left, 0), best.get(self.made_by[rank], 0))
             best[right] = max(best.get(right, 0), reach)
             most = max(most, reach)
         return most + 1  # one symbol more: whether a symbol ends its word is known from the next one
@@ -89,11 +90,10 @@ class Bpe:
     def _merge(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost first, over a linked list with a heap."""
         n = len(ids)
-        ranks = self.ranks
+        rank, made_by, never = self.rank.get, self.made_by, self.never
         if n < 2:
             return ids
         if n <= 64:
-            rank, made_by, never = self.rank.get, self.made_by, self.never
             wait = [rank(pair, never) for pair in zip(ids, ids[1:], strict=False)]
             while wait:
                 low = min(wait)
@@ -108,21 +108,21 @@ class Bpe:
                     wait[i] = rank((made, ids[i + 1]), never)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rule[0], i, ids[i], ids[i + 1], rule[1]) for i in range(n - 1) if (rule := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(rule, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rule := rank((ids[i], ids[i + 1]), never)) != never]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, made = heapq.heappop(heap)
-            j = after[i]
+            rule, i, left, right = heapq.heappop(heap)
+            j, made = after[i], made_by[rule]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
             ids[i], ids[j] = made, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-                if rule := ranks.get((made, ids[after[j]])):
-                    heapq.heappush(heap, (rule[0], i, made, ids[after[j]], rule[1]))
-            if (h := before[i]) >= 0 and (rule := ranks.get((ids[h], made))):
-                heapq.heappush(heap, (rule[0], h, ids[h], made, rule[1]))
+                if (rule := rank((made, ids[after[j]]), never)) != never:
+                    heapq.heappush(heap, (rule, i, made, ids[after[j]]))
+            if (h := before[i]) >= 0 and (rule := rank((ids[h], made), never)) != never:
+                heapq.heappush(heap, (rule, h, ids[h], made))
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, raw: bytes, chunk: int = CHUNK):
@@ -155,15 +155,15 @@ class Bpe:
             if found is None:
                 found = list(self.encode_piece(piece.encode()))
                 if len(piece) <= 64:
-                    if len(known) >= CACHE:
+                    if len(known) >= PIECES:
                         known.clear()
                     known[piece] = found
             out += found
         pieces = self.pieces
         return " ".join(map(str, out)), len(out), self.joined.join([pieces[i] for i in out])
 
-    def _parts(self, text: str):
-        """The whitespace chunks and added tokens of a text after normalisation, in order."""
+    def _segments(self, text: str):
+        """(whitespace chunks after normalisation, False) of pieces of a text, or ([added token], True), in order."""
         spans = [(0, len(text), None)]
         if self._split_added is not None and any(a in text for a in self.added):
             spans, at = [], 0
@@ -173,16 +173,21 @@ class Bpe:
             spans.append((at, len(text), None))
         for start, end, token in spans:
             if token is not None:
-                yield token, True
+                yield [token], True
                 continue
-            part = text[start:end]
-            if not part.isascii() and not unicodedata.is_normalized("NFC", part):
-                part = unicodedata.normalize("NFC", part)
-            part = part.replace("Σ", "σ").lower()
-            # str.split also takes four control characters for white space, which the rules don't
-            for chunk in self.chunks.split(part) if self.controls.search(part) else part.split():
-                if chunk:
-                    yield chunk, False
+            while start < end:
+                # white space ends a pre-token and takes part in no normalisation, so segments may begin with it
+                cut = self.chunks.search(text, start + SEGMENT, end) if end - start > SEGMENT else None
+                part, start = text[start : cut.start() if cut else end], cut.start() if cut else end
+                yield self._chunks(part), False
+
+    def _chunks(self, part: str) -> list[str]:
+        """The whitespace chunks of a piece of text after normalisation."""
+        if not part.isascii() and not unicodedata.is_normalized("NFC", part):
+            part = unicodedata.normalize("NFC", part)
+        part = part.replace("Σ", "σ").lower()
+        # str.split also takes four control characters for white space, which the rules don't
+        return [x for x in self.chunks.split(part) if x] if self.controls.search(part) else part.split()
 
     #: White space of the file's rules; any of it ends a pre-token.
     chunks = regex.compile(r"\s+")
@@ -190,38 +195,61 @@ class Bpe:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        for part, added in self._parts(text or ""):
-            if added:
-                out.append(self.added[part])
-            else:
+        for parts, added in self._segments(text or ""):
+            for part in parts:
+                if added:
+                    out.append(self.added[part])
+                    continue
                 for piece in self.steps.findall(part):
                     out.extend(self.encode_piece(piece.encode()))
         return out
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of the ids (joined by spaces) and of the decoded text."""
-        cache, total, ids, surfaces = self.cache, 0, [], []
-        for part, added in self._parts(text or ""):
-            if added:
-                found = (str(self.added[part]), 1, part)
-            else:
-                found = cache.get(part)
-                if found is None:
-                    found = self._chunk(part)
-                    if len(part) <= 64:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[part] = found
-            if found[1]:
-                ids.append(found[0])
-                surfaces.append(found[2])
-                total += found[1]
-        said = hashlib.sha256()
-        machine = TextMachine()
-        for k in range(0, len(surfaces), 4096):
-            said.update(machine.feed((self.joined if k else "").encode() + self.joined.join(surfaces[k : k + 4096]).encode()).encode())
+        """Number of tokens, and SHA-256 of the ids (joined by spaces) and of the decoded text; what is emitted is hashed and forgotten."""
+        total, named, said, machine = 0, hashlib.sha256(), hashlib.sha256(), TextMachine()
+        ids, surfaces, began = [], [], False
+
+        def flush():
+            nonlocal ids, surfaces, began
+            if ids:
+                named.update(((" " if began else "") + " ".join(ids)).encode())
+                said.update(machine.feed(((self.joined if began else "") + self.joined.join(surfaces)).encode()).encode())
+                ids, surfaces, began = [], [], True
+
+        def emit(some: str, n: int, surface: str):
+            nonlocal total
+            ids.append(some)
+            surfaces.append(surface)
+            total += n
+            if len(ids) >= FLUSH:
+                flush()
+
+        cache = self.cache
+        for parts, added in self._segments(text or ""):
+            for part in parts:
+                if added:
+                    emit(str(self.added[part]), 1, part)
+                elif len(part) > CHUNK:  # no white space in sight: token by token
+                    for piece in self.steps.finditer(part):
+                        for token in self.encode_piece(piece.group().encode()):
+                            emit(str(token), 1, self.pieces[token])
+                else:
+                    found = cache.get(part)
+                    if found is None:
+                        found = self._chunk(part)
+                        if len(part) <= 64:
+                            if len(cache) >= CACHE:
+                                cache.clear()
+                            cache[part] = found
+                    if found[1]:
+                        ids.append(found[0])
+                        surfaces.append(found[2])
+                        total += found[1]
+            if len(ids) >= FLUSH:
+                flush()
+        flush()
         said.update(machine.end().encode())
-        return total, hashlib.sha256(" ".join(ids).encode()).hexdigest(), said.hexdigest()
+        return total, named.hexdigest(), said.hexdigest()
 
     def decode(self, ids) -> str:
         """The text of token ids; ids that the file doesn't have are passed over."""
@@ -270,8 +298,10 @@ def load(path: str) -> Bpe:
 def encode_digest(documents: DataFrame, path: str) -> DataFrame:
     """Per document row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    A null text counts as empty (no tokens, hashes of the empty string). Rows are independent of each other, so
-    repeated rows repeat their result; further columns are ignored. `path` must be readable on the executors.
+    A null text counts as empty (no tokens, hashes of the empty string). Very long texts are encoded whole, beside the
+    text itself in constant memory. Rows are independent of each other, so repeated rows repeat their result; further
+    columns are ignored, whatever their names; an empty table gives an empty result. `path` must be readable on the
+    executors.
     """
 
     def run(batches):
@@ -284,7 +314,7 @@ def encode_digest(documents: DataFrame, path: str) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(documents: DataFrame, path: str) -> DataFrame:

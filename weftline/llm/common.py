@@ -18,23 +18,29 @@ from weftline.sources.tables import shared_folder, table  # noqa: F401
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 _TO_SPACE = bytes(0x20 if b in SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; from now on its session hands Python at most BATCH_ROWS rows at once.
+
+    Rows hold whole texts or packed entries here, and the JVM and the worker each have copies of a batch.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, whichever executor is lost later."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
-    # rows hold whole texts or packed entries, so ten thousand of them are much for the JVM's and the worker's copies of a batch
-    usual = spark.conf.get(BATCH_ROWS)
-    spark.conf.set(BATCH_ROWS, min(int(usual), 1000))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, usual)
+    small_batches(df)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out

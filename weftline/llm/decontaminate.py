@@ -6,7 +6,8 @@ the hash of a pattern's last block selects a bucket, and a direct comparison con
 positions of the text advance at once (lanes), each by its own shift.
 
 Benchmark items are read in blocks of bounded size; each block is one pass over the documents that adds its
-hits to a state column, so neither the driver nor an executor ever holds more than one block's tables.
+hits to a state column, written before the next one begins, so neither the driver nor an executor ever holds more than
+one block's tables.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_blocks
+from weftline.llm.common import discard, materialise, small_batches, text_blocks
 
 #: Words of a window.
 WINDOW = 10
@@ -181,19 +182,33 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     A null or wordless text has no words and is never contaminated. Benchmark rows without words search for
     nothing; a row whose item_id is null marks words but is not counted among the items. Repeated rows on
     either side change nothing but the number of result rows. An empty benchmark leaves every document clean.
-    Further columns of both inputs are ignored.
+    Very long texts are searched whole, in memory for one of them. Further columns of both inputs are ignored.
     """
-    docs = documents.select("doc_id", "text")
+    docs, before = small_batches(documents.select("doc_id", "text")), []
     id_type = documents.schema["doc_id"].dataType.simpleString()
     for k, blocks, handle in _handles(benchmark, window, block_bytes):
         last = k == blocks - 1
         schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else f"doc_id {id_type}, text string, hit binary, items array<string>"
         docs = docs.mapInArrow(_scan(handle, k == 0, last), schema)
+        if not last:
+            docs = _next(docs, handle, before)
+    return docs
+
+
+def _next(docs: DataFrame, handle, before: list[DataFrame]) -> DataFrame:
+    """The state after a block, written; its tables and the state before it go."""
+    docs = materialise(docs, "decontaminate")
+    handle.destroy()
+    discard(*before)
+    before[:] = [docs]
     return docs
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The document rows without any occurrence of a benchmark window, all columns as they are."""
+    """The document rows without any occurrence of a benchmark window, all columns as they are.
+
+    A null or wordless text stays; repeated rows stay or go alike, in their number; an empty benchmark drops nothing.
+    """
 
     def clean(handle):
         def run(batches):
@@ -208,6 +223,9 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
 
         return run
 
-    for _, _, handle in _handles(benchmark, window, block_bytes):
+    documents, before = small_batches(documents), []
+    for k, blocks, handle in _handles(benchmark, window, block_bytes):
         documents = documents.mapInArrow(clean(handle), documents.schema)
+        if k < blocks - 1:
+            documents = _next(documents, handle, before)
     return documents

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_blocks
+from weftline.llm.common import small_batches, text_blocks
 
 #: Labelled texts of each language that training and calibration may see, and the longest of them in characters.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
@@ -196,7 +196,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text")
+    rows = small_batches(documents.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -217,4 +217,4 @@ def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
                 batch = batch.set_column(place, batch.schema.field(place), lang)
             yield batch.filter(pa.array([not x[2] for x in found], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

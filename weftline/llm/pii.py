@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import text_blocks
+from weftline.llm.common import small_batches, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -262,4 +262,4 @@ def personal_data(documents: DataFrame) -> DataFrame:
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return small_batches(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
