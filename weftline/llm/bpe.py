@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import small_batches, text_blocks
+from weftline.llm.common import give_back, small_batches, text_blocks
 
 #: Distinct whitespace chunks, and pre-tokens, that a worker remembers before it starts afresh.
 CACHE, PIECES = 1 << 18, 1 << 17
@@ -312,6 +312,10 @@ def encode_digest(documents: DataFrame, path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        # an idle worker keeps the tables, not what it remembers
+        bpe.cache.clear()
+        bpe.piece_cache.clear()
+        give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return small_batches(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

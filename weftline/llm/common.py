@@ -103,10 +103,10 @@ def text_blocks(batches, column: str = "text", limit: int = BATCH_BYTES):
         for end in [*edges.tolist(), n]:
             yield batch.slice(at, end - at)
             at = end
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: workers outlive their tasks, and several share an executor."""
     pa.default_memory_pool().release_unused()
     try:

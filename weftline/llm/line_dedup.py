@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, discard, materialise, maybe_broadcast, mix, salted_join, text_blocks, word_hashes
+from weftline.llm.common import as_bytes, discard, give_back, materialise, maybe_broadcast, mix, salted_join, text_blocks, word_hashes
 
 #: A match needs DEN * intersection >= NUM * union; lines of fewer words than LEAST_WORDS take no part unless the caller raises the bound.
 NUM, DEN, LEAST_WORDS = 80, 100, 1
@@ -384,6 +384,7 @@ class Join:
                         yield from found
                     parts, count = [e], 0  # what is held on to is counted no more, or a bucket of many regions would never go on
         yield from finish()
+        give_back()
 
 
 def _later(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, discard, materialise, maybe_broadcast, mix, text_blocks, word_hashes
+from weftline.llm.common import as_bytes, discard, give_back, materialise, maybe_broadcast, mix, text_blocks, word_hashes
 from weftline.llm.components import components
 
 SHINGLE = 3
@@ -222,6 +222,7 @@ def _met(held: int):
                     yield out(who, n)
                     parts, total = [left], 0
         yield from finish()
+        give_back()
 
     return run
 
@@ -319,6 +320,7 @@ def _solve(num: int, den: int):
             found.join(np.arange(len(rows)))
             ids = [r["id"] for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([ids[found.find(i)] for i in range(len(ids))], pa.string())], ["a", "b"])
+        give_back()
 
     return run
 
