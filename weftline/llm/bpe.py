@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import give_back, small_batches, text_blocks
 
 #: Distinct whitespace chunks, and pre-tokens, that a worker remembers before it starts afresh.
-CACHE, PIECES = 1 << 18, 1 << 17
+CACHE, PIECES = 3 << 16, 1 << 15
 #: Characters of a text that are normalised and cut at once, and tokens that are hashed at once.
 SEGMENT, FLUSH = 1 << 16, 4096
 #: Characters of a pre-token up to which it is encoded at once.
@@ -57,6 +57,8 @@ class Bpe:
         self.rank = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
         self.made_by, self.never = [ids[a + b] for a, b in merges], len(merges)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        if any("\n" in a for a in self.added):
+            raise ValueError("added tokens of several lines are not supported")
         self.pieces = {i: s for s, i in [*self.vocab.items(), *self.added.items()]}
         self.joined = " " if not spec.get("decoder") else ""
         self._split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -65,7 +67,7 @@ class Bpe:
         self.last_symbols = [self.vocab.get(alphabet[b] + self.suffix) for b in range(256)]
         self.steps = self._text_rules(spec)
         self.lookahead = self._sufficient_lookahead()
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.cache: dict[str, str] = {}
         self.piece_cache: dict[str, list[int]] = {}
 
     def _text_rules(self, spec: dict) -> regex.Pattern:
@@ -146,8 +148,8 @@ class Bpe:
             at += taken
         yield from self.encode_piece(raw[at:], chunk + self.lookahead)
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids (joined by spaces), their number and their surfaces, for text without white space."""
+    def _chunk(self, chunk: str) -> str:
+        """Ids (joined by spaces) and, in a second line, their surfaces, for text without white space; empty if it has none."""
         out: list[int] = []
         known = self.piece_cache
         for piece in self.steps.findall(chunk):
@@ -160,7 +162,7 @@ class Bpe:
                     known[piece] = found
             out += found
         pieces = self.pieces
-        return " ".join(map(str, out)), len(out), self.joined.join([pieces[i] for i in out])
+        return " ".join(map(str, out)) + "\n" + self.joined.join([pieces[i] for i in out]) if out else ""
 
     def _segments(self, text: str):
         """(whitespace chunks after normalisation, False) of pieces of a text, or ([added token], True), in order."""
@@ -207,32 +209,29 @@ class Bpe:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, and SHA-256 of the ids (joined by spaces) and of the decoded text; what is emitted is hashed and forgotten."""
         total, named, said, machine = 0, hashlib.sha256(), hashlib.sha256(), TextMachine()
-        ids, surfaces, began = [], [], False
+        out: list[str] = []
 
         def flush():
-            nonlocal ids, surfaces, began
-            if ids:
-                named.update(((" " if began else "") + " ".join(ids)).encode())
-                said.update(machine.feed(((self.joined if began else "") + self.joined.join(surfaces)).encode()).encode())
-                ids, surfaces, began = [], [], True
-
-        def emit(some: str, n: int, surface: str):
             nonlocal total
-            ids.append(some)
-            surfaces.append(surface)
-            total += n
-            if len(ids) >= FLUSH:
-                flush()
-
-        cache = self.cache
+            if out:
+                lines = "\n".join(out).split("\n")
+                ids = " ".join(lines[0::2])
+                named.update(((" " if total else "") + ids).encode())
+                said.update(machine.feed(((self.joined if total else "") + self.joined.join(lines[1::2])).encode()).encode())
+                total += ids.count(" ") + 1
+                out.clear()
+
+        cache, emit = self.cache, out.append
         for parts, added in self._segments(text or ""):
             for part in parts:
                 if added:
-                    emit(str(self.added[part]), 1, part)
+                    emit(f"{self.added[part]}\n{part}")
                 elif len(part) > CHUNK:  # no white space in sight: token by token
                     for piece in self.steps.finditer(part):
                         for token in self.encode_piece(piece.group().encode()):
-                            emit(str(token), 1, self.pieces[token])
+                            emit(f"{token}\n{self.pieces[token]}")
+                            if len(out) >= FLUSH:
+                                flush()
                 else:
                     found = cache.get(part)
                     if found is None:
@@ -241,11 +240,9 @@ class Bpe:
                             if len(cache) >= CACHE:
                                 cache.clear()
                             cache[part] = found
-                    if found[1]:
-                        ids.append(found[0])
-                        surfaces.append(found[2])
-                        total += found[1]
-            if len(ids) >= FLUSH:
+                    if found:
+                        emit(found)
+            if len(out) >= FLUSH:
                 flush()
         flush()
         said.update(machine.end().encode())
