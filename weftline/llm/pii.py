@@ -8,6 +8,7 @@ spans; one that overlaps a plain one of its kind is left out. Plain spans always
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -100,22 +101,25 @@ _LOOKS = re.compile("[" + "".join(map(re.escape, [*_LOOK, *_GONE])) + "]")
 _SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
-    "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
-    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "una": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _PLUS = {"plus", "dot", "point", "punkt", "punto"}
 #: A run of spelled or written digits with anything spelled in it is a disguise; whether it is an identifier, the kinds decide.
 _DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+|\+\s?)?(?:{_NUMBER}|[0-9]++)(?:[\s,.-]{{1,3}}(?:{_NUMBER}|dot|point|punkt|punto|[0-9]++))+(?!\w)")
 _TOKEN = re.compile(r"\w+|[^\w]+")
+# Fixed values: "at" and "dot" in the four languages.
+_AT_WORD, _DOT_WORD = "at|ät|arroba|arobase|arrobase", "dot|punkt|point|punto"
 # a run of white space is tried from its start only, so long runs stay linear
-_BRACKETED_AT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:at|arroba|ät|@)\s*+[\])}>]\s*+")
-_BRACKETED_DOT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]\s*+")
-#: local AT domain DOT suffix, all spelled with spaces.
-_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})(\s+at\s+)([A-Za-z0-9-]{1,63})((?:\s+dot\s+[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9-])")
-_HALF_SPOKEN = re.compile(r"(?i)(?<=[A-Za-z0-9])@[A-Za-z0-9-]{1,63}((?:\s+dot\s+[A-Za-z0-9-]{1,63}){1,5})(?![A-Za-z0-9-])")
-_SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+")
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+@\s*|\s*@\s+)(?=[A-Za-z0-9-]+\s*\.)")
+_BRACKETED_AT = re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*+(?:{_AT_WORD}|@)\s*+[\])}}>]\s*+")
+_BRACKETED_DOT = re.compile(rf"(?i)(?<!\s)\s*+[\[({{<]\s*+(?:{_DOT_WORD}|\.)\s*+[\])}}>]\s*+")
+#: local AT domain DOT suffix, all spelled with spaces; and a plain @ whose domain has spelled dots.
+_SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)(\s++(?:{_AT_WORD})\s++)([A-Za-z0-9-]++)((?:(?:\s++(?:{_DOT_WORD})\s++|\.)[A-Za-z0-9-]++)+)(?![A-Za-z0-9-])")
+_HALF_SPOKEN = re.compile(rf"(?i)(?<=[A-Za-z0-9])@[A-Za-z0-9-]++((?:(?:\s++(?:{_DOT_WORD})\s++|\.)[A-Za-z0-9-]++)+)(?![A-Za-z0-9-])")
+_SPOKEN_DOT = re.compile(rf"(?i)\s+(?:{_DOT_WORD})\s+")
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:(?<!\s)\s++@\s*+|\s*+@\s++)(?=[A-Za-z0-9-]++\s*+\.)")
+_SPOKEN_AT = re.compile(rf"(?i)\s(?:{_AT_WORD})\s")
 
 
 class Tape:
@@ -123,10 +127,11 @@ class Tape:
 
     __slots__ = ("ends", "starts", "text")
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts=None, ends=None):
         self.text = text
-        self.starts = list(range(len(text))) if starts is None else starts
-        self.ends = list(range(1, len(text) + 1)) if ends is None else ends
+        # until something is rewritten, ranges stand for the places
+        self.starts = range(len(text)) if starts is None else starts
+        self.ends = range(1, len(text) + 1) if ends is None else ends
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """`edits`: (start, end, replacement), in order, apart; each new character owns the whole replaced span."""
@@ -135,34 +140,35 @@ class Tape:
         text, starts, ends, at = [], [], [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            starts += [*self.starts[at:a], *[self.starts[a]] * len(new)]
+            ends += [*self.ends[at:a], *[self.ends[b - 1]] * len(new)]
             at = b
         text.append(self.text[at:])
-        return Tape("".join(text), starts + self.starts[at:], ends + self.ends[at:])
+        return Tape("".join(text), [*starts, *self.starts[at:]], [*ends, *self.ends[at:]])
 
 
 def _homoglyphs(tape: Tape) -> Tape:
-    return tape.rewrite([(m.start(), m.end(), _LOOK.get(m.group(), "")) for m in _LOOKS.finditer(tape.text)])
+    return tape if tape.text.isascii() else tape.rewrite([(m.start(), m.end(), _LOOK.get(m.group(), "")) for m in _LOOKS.finditer(tape.text)])
 
 
 def _at_and_dot(tape: Tape) -> Tape:
-    low = tape.text.lower()
-    if any(x in low for x in ("at", "arroba", "@", "ät")) and any(x in low for x in "[({<"):
+    if any(x in tape.text for x in "[({<"):
         tape = tape.rewrite([(*m.span(), "@") for m in _BRACKETED_AT.finditer(tape.text)])
-        tape = tape.rewrite([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(tape.text)])
-    if " dot " in low or "\tdot" in low or "\ndot" in low:
+        # a bracketed dot is one where an @ shows that an address is meant
+        if "@" in tape.text or _SPOKEN_AT.search(tape.text):
+            tape = tape.rewrite([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(tape.text)])
+    if _SPOKEN_AT.search(tape.text):
         edits = []
         for m in _SPOKEN.finditer(tape.text):
-            edits.append((m.start(2), m.end(2), "@"))
-            edits += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group(4))]
+            spoken = [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group(4))]
+            if spoken:  # "at" before a written domain is a plain word
+                edits += [(m.start(2), m.end(2), "@"), *spoken]
         tape = tape.rewrite(edits)
-        # a plain or bracketed @ whose domain has spoken dots
+    if "@" in tape.text:
         edits = []
         for m in _HALF_SPOKEN.finditer(tape.text):
             edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group(1))]
         tape = tape.rewrite(edits)
-    if "@" in tape.text:
         tape = tape.rewrite([(*m.span(), "@") for m in _SPACED_AT.finditer(tape.text)])
     return tape
 
@@ -185,34 +191,23 @@ def _spelled_digits(tape: Tape) -> Tape:
     return tape
 
 
-_SPELLED_PAIR = re.compile(rf"(?i)\b(?:(?:plus[\s-]+)?(?:{_NUMBER})[\s,.-]{{1,3}}(?:{_NUMBER}|[0-9]|point|punkt|punto)|plus[\s-]+[0-9]|[0-9][\s,.-]{{1,3}}(?:{_NUMBER}|point|punkt|punto)\b)")
-
-
-def disguised(text: str) -> bool:
-    """Whether any transducer would change something; most texts stop here."""
-    if not text.isascii() and _LOOKS.search(text):
-        return True
-    low = text.lower()
-    if "dot" in low or "@" in low and _SPACED_AT.search(text) or _BRACKETED_AT.search(text):
-        return True
-    return _SPELLED_PAIR.search(low) is not None
-
-
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Source spans of identifiers that only the rewritten text shows."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    if not disguised(text):
-        return out
     tape = _spelled_digits(_at_and_dot(_homoglyphs(Tape(text))))
     if tape.text == text:
         return out
     for kind, spans in plain_spans(tape.text).items():
+        known, found = base[kind], out[kind]
+        ends = [y for _, y in known]
         for a, b in spans:
             start, end = tape.starts[a], tape.ends[b - 1]
-            if not any(x < end and start < y for x, y in base[kind]) and not any(x < end and start < y for x, y in out[kind]):
-                if kind == "email" and not tape.text[a:b].rpartition(".")[2].isalpha():
-                    continue
-                out[kind].append((start, end))
+            k = bisect.bisect_right(ends, start)  # both sides are in order and apart
+            if k < len(known) and known[k][0] < end or found and found[-1][1] > start:
+                continue
+            if kind == "email" and not tape.text[a:b].rpartition(".")[2].isalpha():
+                continue
+            found.append((start, end))
     return out
 
 
@@ -244,8 +239,10 @@ def mask(text: str | None, fill: str = "[{}]") -> str | None:
 def personal_data(documents: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_email, n_ip, n_card, n_phone (plain spans), base_sha256, spans, n_added.
 
-    A null text counts as empty: no spans, the hash of the empty string. Rows are independent of each other, so
-    repeated rows repeat their result; further columns are ignored.
+    A null text counts as empty: no spans, the hash of the empty string. Very long texts are searched whole, in time
+    that grows with their length. Of spans of one kind that overlap the plain one stays, else the first. Rows are
+    independent of each other, so repeated rows repeat their result; further columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
 
     def run(batches):
