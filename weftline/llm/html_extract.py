@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import small_batches, text_blocks
 
 # Elements by what they mean for text.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr center".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr center noscript object svg g text tspan math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe template svg math object select button xmp noembed".split())
+_RAW = frozenset("script style textarea title iframe template select button noembed".split())
 _BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset label legend option head".split())
 _BAD_WORDS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus social share sharing related recommended widget login signin signup register search pagination pager tags toolbar copyright legal disclaimer skip".split())
 _GOOD_WORDS = frozenset("article content entry post body story main text maincontent prose".split())
@@ -51,7 +51,7 @@ class Block:
 
 
 class Element:
-    __slots__ = ("bad", "bad_element", "good", "hidden", "in_article", "number", "path", "tag")
+    __slots__ = ("bad", "bad_element", "good", "in_article", "number", "path", "tag")
 
     def __init__(self, tag: str, number: int, above: Element | None, attributes: str):
         self.tag, self.number = tag, number
@@ -59,7 +59,6 @@ class Element:
         self.bad, self.good = (above.bad, above.good) if above else (0, 0)
         self.bad_element = above.bad_element if above else False
         self.in_article = above.in_article if above else False
-        self.hidden = above.hidden if above else False
         if tag in ("article", "main"):
             self.in_article = True
         if tag in _BOILERPLATE or tag == "header" and not self.in_article:
@@ -75,11 +74,11 @@ class Element:
                     self.bad_element |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form")
                     self.in_article |= value.lower() in ("main", "article")
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                    self.hidden = True
+                    self.bad += 1
 
 
 def blocks(html: str | None) -> list[Block]:
-    """Text blocks in page order: decoded, white space made single spaces, empty and hidden ones left out."""
+    """Text blocks in page order: decoded, white space made single spaces, empty ones left out."""
     if not html:
         return []
     stack = [Element("", 0, None, "")]
@@ -89,15 +88,15 @@ def blocks(html: str | None) -> list[Block]:
 
     def flush():
         if held:
-            if not stack[-1].hidden:
-                text = " ".join(unescape("".join(t for t, _ in held)).split())
-                if text:
-                    linked = sum(len(t) for t, a in held if a)
-                    where = stack[-1]
-                    out.append(Block(text, min(linked, len(text)), where, any(e.tag == "li" for e in stack[-3:]), where.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), state["ended"] and not where.in_article))
+            text = " ".join(unescape("".join(t for t, _ in held)).split())
+            if text:
+                linked = sum(len(t) for t, a in held if a)
+                where = stack[-1]
+                out.append(Block(text, min(linked, len(text)), where, any(e.tag == "li" for e in stack[-3:]), where.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), state["ended"] and not where.in_article))
             held.clear()
 
     at, n, number, anchors, doubts = 0, len(html), 0, 0, 0
+    unclosed: set[str] = set()  # raw elements without an end from here on, which are not searched for again
     while at < n:
         m = _MARK.search(html, at)
         if m is None:
@@ -124,7 +123,9 @@ def blocks(html: str | None) -> list[Block]:
         closing, tag, attributes = t.group(1), t.group(2).lower(), t.group(3)
         if tag in _RAW and not closing:
             if not attributes.endswith("/"):
-                end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>").search(html, at)
+                end = None if tag in unclosed else re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*+>").search(html, at)
+                if end is None:
+                    unclosed.add(tag)
                 at = end.end() if end else n if tag in ("script", "style", "textarea", "title") else at
             if tag not in _INLINE:
                 held.append((" ", False))
@@ -172,11 +173,11 @@ def features(found: list[Block]) -> np.ndarray:
     return out
 
 
-#: Price of what markup forbids outright, and weight of the strongest smoothness edge.
-FORBIDDEN, SMOOTH = 50.0, 0.6
+#: Price of what markup forbids outright, and the weights of the strongest smoothness edge that training chooses from.
+FORBIDDEN, SMOOTH = 50.0, (0.0, 0.5, 1.0, 2.0, 4.0, 8.0)
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, float]]:
+def edges(found: list[Block], smooth: float) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in page order, and consecutive blocks of one parent."""
     out, last = [], {}
     for i, b in enumerate(found):
@@ -187,10 +188,10 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
                 if x != y:
                     break
                 same += 1
-            out.append((i - 1, i, SMOOTH / (1 + len(a.path) + len(b.path) - 2 * same)))
+            out.append((i - 1, i, smooth / (1 + len(a.path) + len(b.path) - 2 * same)))
         above = b.path[-2] if len(b.path) > 1 else 0
         if (k := last.get(above)) is not None and k != i - 1:
-            out.append((k, i, SMOOTH / 3))
+            out.append((k, i, smooth / 3))
         last[above] = i
     return out
 
@@ -267,7 +268,9 @@ def _max_flow(rest, gain, near, label) -> set[int]:
 
 
 class Classifier:
-    """Logistic regression over block features, by gradient descent."""
+    """Logistic regression over block features, by gradient descent, and the weight of smoothness."""
+
+    smooth = 0.0
 
     def __init__(self, x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 0.5, ridge: float = 1e-3):
         self.scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
@@ -288,9 +291,14 @@ class Classifier:
 _TRAIN_WORDS = "the of and to in a is that for on with as was by at from this are be it time people place year work house water light night story city river first long little great small under world".split()
 
 
-def training_pages(n: int = 120, seed: int = 3) -> list[tuple[str, set[str]]]:
-    """(html, texts of its content blocks) of pages made by a rule; every block's text is unique."""
+def training_pages(n: int = 160, seed: int = 3, misled: bool = True) -> list[tuple[str, set[str]]]:
+    """(html, texts of its content blocks) of pages made by a rule; every block's text is unique.
+
+    If `misled`, some markup misleads: paragraphs of an article named like adverts or short as menu entries, boilerplate with whole
+    sentences or names that promise content, pages without any telling names.
+    """
     rng = np.random.default_rng(seed)
+    one = lambda x: x[int(rng.integers(len(x)))]
     words = lambda a, b: " ".join(_TRAIN_WORDS[int(k)] for k in rng.integers(len(_TRAIN_WORDS), size=int(rng.integers(a, b))))
     count = iter(range(10**9))
     short = lambda: f"{words(1, 4)} x{next(count)}"
@@ -299,32 +307,47 @@ def training_pages(n: int = 120, seed: int = 3) -> list[tuple[str, set[str]]]:
     for k in range(n):
         content: set[str] = set()
 
-        def good(tag: str, text: str, keep=content) -> str:
+        def good(tag: str, text: str, keep=content, names: str = "") -> str:
             keep.add(text)
-            return f"<{tag}>{text}</{tag}>"
+            return f"<{tag}{names}>{text}</{tag}>"
 
         body = [good("h1", short())]
         for _ in range(int(rng.integers(2, 9))):
             kind = rng.random()
-            body.append(good("h2", short()) if kind < 0.1 else "<ul>" + "".join(good("li", f"{words(4, 9)} y{next(count)}.") for _ in range(3)) + "</ul>" if kind < 0.2 else good("p", " ".join(sentence() for _ in range(int(rng.integers(1, 6)))) + f" z{next(count)}."))
+            if kind < 0.1:
+                body.append(good("h2", short()))
+            elif kind < 0.2:
+                body.append("<ul>" + "".join(good("li", f"{words(4, 9)} y{next(count)}.") for _ in range(3)) + "</ul>")
+            elif misled and kind < 0.3:  # a short line, or one named like something else
+                body.append(good("p", short() if rng.random() < 0.5 else f"{words(4, 12)} t{next(count)}", names=one(["", ' class="promo"', ' class="side note"', ' id="share-of-voice"'])))
+            else:
+                body.append(good("p", " ".join(sentence() for _ in range(int(rng.integers(1, 6)))) + f" z{next(count)}."))
             if rng.random() < 0.15:
-                body.append(f'<div class="{["ad", "promo", "related", "share"][int(rng.integers(4))]}">{short()}</div>')
+                body.append(f'<div class="{one(["ad", "promo", "related", "share"])}">{short()}</div>')
         links = lambda m: "".join(f'<li><a href="/{next(count)}">{short()}</a></li>' for _ in range(m))
         wrap = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="entry-content">', "</div>"), ('<div id="content">', "</div>"), ("<div>", "</div>")][k % 5]
         top = [f"<nav><ul>{links(5)}</ul></nav>", f'<div class="menu"><ul>{links(4)}</ul></div>', f"<header><p>{short()}</p></header>", f"<ul>{links(6)}</ul>"][k % 4]
         ad = ["", f'<div class="ad">{sentence()} w{next(count)}</div>', f'<div id="cookie-notice">{sentence()} w{next(count)}</div>'][k % 3]
-        tail = [f"<footer>&copy; {short()}</footer>", f'<div class="sidebar"><p>{sentence()} v{next(count)}</p><ul>{links(3)}</ul></div><footer>{short()}</footer>', f'<section class="comments"><p>{sentence()} u{next(count)}</p><p>{sentence()} u{next(count)}</p></section>'][k % 3]
+        tail = [
+            f"<footer>&copy; {short()}</footer>",
+            f'<div class="sidebar"><p>{sentence()} v{next(count)}</p><ul>{links(3)}</ul></div><footer>{short()}</footer>',
+            f'<section class="comments"><p>{sentence()} u{next(count)}</p><p>{sentence()} u{next(count)}</p></section>',
+            f'<div class="comments"><div class="body"><p>{sentence()} {sentence()} u{next(count)}</p></div><div class="body"><p>{short()}</p></div><p>{sentence()} u{next(count)}</p></div>',
+            f'<div class="related"><ul>{links(2)}<li class="story">{sentence()} r{next(count)}</li>{links(2)}</ul></div>',
+        ][k % 7 % 5 if misled else k % 3]
         out.append((f"<html><body>{top}{ad}{wrap[0]}{''.join(body)}{wrap[1]}{tail}</body></html>", content))
     return out
 
 
 def train(pages: list[tuple[str, set[str]]] | None = None) -> Classifier:
-    x, y = [], []
-    for html, content in pages or training_pages():
-        found = blocks(html)
-        x.append(features(found))
-        y += [b.text in content for b in found]
-    return Classifier(np.concatenate(x), np.array(y, float))
+    """The classifier from three quarters of the pages; the smoothness that labels the others best, of equally good ones the least."""
+    parsed = [(blocks(html), content) for html, content in pages or training_pages()]
+    learn = [p for k, p in enumerate(parsed) if k % 4] or parsed
+    model = Classifier(np.concatenate([features(found) for found, _ in learn]), np.array([b.text in content for found, content in learn for b in found], float))
+    held = [(found, [b.text in content for b in found], model.gains(found)) for found, content in parsed[::4]]
+    right = [sum(sum(map(bool.__eq__, min_cut(gain, edges(found, w)), truth)) for found, truth, gain in held) for w in SMOOTH]
+    model.smooth = SMOOTH[right.index(max(right))]
+    return model
 
 
 def extract(html: str | None, model: Classifier) -> str:
@@ -332,14 +355,16 @@ def extract(html: str | None, model: Classifier) -> str:
     found = blocks(html)
     if not found:
         return ""
-    label = min_cut(model.gains(found), edges(found))
+    label = min_cut(model.gains(found), edges(found, model.smooth))
     return "\n\n".join(b.text for b, keep in zip(found, label, strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, model: Classifier | None = None) -> DataFrame:
     """Per page row: page_id, url, text, n_chars (code points).
 
-    A null html counts as empty. Repeated rows repeat their result; further columns are ignored.
+    A null or empty html, or one without content, gives an empty text; nothing of a very long one is left out. Of
+    equally cheap labellings the one of least content wins. Repeated rows repeat their result; further columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     handle = pages.sparkSession.sparkContext.broadcast(model or train())
 
