@@ -13,8 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from weftline.plans import catalog
 from weftline.session import local_session
 
-HEADLINE = ("bm25_topk", "text_search_topk", "term_df", "cosine_topk", "rrf_fusion", "neighbors", "khop_forward", "reachability", "categorize", "prefix_pack", "skipfit_pack", "char_entropy", "usage_by_model", "file_card", "page_links")
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+HEADLINE = ("bm25_topk", "text_search_topk", "term_df", "cosine_topk", "rrf_fusion", "neighbors", "khop_forward", "khop_backward", "reachability", "cascade_delete", "minmax_rerank", "categorize", "prefix_pack", "skipfit_pack", "char_entropy", "usage_by_model", "file_card", "page_links")
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def main() -> None:

@@ -51,6 +51,8 @@ def _vectors(spark, d) -> DataFrame:
 
 # --- lexical search -------------------------------------------------------------------------------------------------
 
+#: Length in UTF-16 units: code points, and one more for each beyond the basic plane.
+UTF16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 TOKENS_A = "list_filter(string_split_regex(lower({0}), '[^a-z0-9_]+'), lambda x: x <> '')"
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 TOKENS_B = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND NOT list_contains(" + STOP + ", x))"
@@ -82,7 +84,7 @@ def term_df(spark, d):
     return S.postings(_docs(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
-@query(f"SELECT lang, count(*) AS n_docs, sum(len({TOKENS_A.format('text')}))::BIGINT AS n_index, sum(len({TOKENS_B.format('text')}))::BIGINT AS n_search, sum(ceil(length(text) / 4.0))::BIGINT AS n_tokens FROM documents GROUP BY lang")
+@query(f"SELECT lang, count(*) AS n_docs, sum(len({TOKENS_A.format('text')}))::BIGINT AS n_index, sum(len({TOKENS_B.format('text')}))::BIGINT AS n_search, sum(ceil({UTF16.format('text')} / 4.0))::BIGINT AS n_tokens FROM documents GROUP BY lang")
 def tokenize_stats(spark, d):
     docs = table(spark, d, "documents")
     size = lambda x: F.sum(F.size(x).cast("long"))
@@ -416,7 +418,7 @@ def categorize(spark, d):
     return C.categorize(_lines(spark, d)).select("query_id", "id", "category")
 
 
-_TURNS = "SELECT conv_id AS query_id, turn AS pos, ceil(length(text) / 4.0)::BIGINT AS tokens FROM conversations"
+_TURNS = f"SELECT conv_id AS query_id, turn AS pos, ceil({UTF16.format('text')} / 4.0)::BIGINT AS tokens FROM conversations"
 
 
 @query(f"WITH t AS ({_TURNS}), s AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY pos)::BIGINT AS used FROM t) SELECT query_id, pos, tokens, used FROM s WHERE used <= 200")
@@ -435,7 +437,7 @@ def skipfit_pack(spark, d):
     return C.skip_fit(rows, F.lit(100.0)).select("query_id", "id", "category", "used", "place")
 
 
-@query("""WITH t AS (SELECT conv_id, sum(ceil(length(text) / 4.0))::BIGINT AS full_tokens, sum(CASE WHEN role = 'assistant' THEN ceil(length(text) / 4.0) ELSE 0 END)::BIGINT AS used FROM conversations GROUP BY conv_id)
+@query(f"""WITH t AS (SELECT conv_id, sum(ceil({UTF16.format('text')} / 4.0))::BIGINT AS full_tokens, sum(CASE WHEN role = 'assistant' THEN ceil({UTF16.format('text')} / 4.0) ELSE 0 END)::BIGINT AS used FROM conversations GROUP BY conv_id)
 SELECT conv_id, greatest(3 * full_tokens - used, 0) AS saved, round(CASE WHEN full_tokens > 0 THEN 100.0::DOUBLE * greatest(3 * full_tokens - used, 0) / (3 * full_tokens) ELSE 0 END, 6) AS percent, least(12000, greatest(6000, full_tokens))::BIGINT AS budget FROM t""")
 def savings(spark, d):
     tokens = T.token_count(F.col("text"))
@@ -475,7 +477,7 @@ def retrieval_tiers(spark, d):
 # --- evaluation, usage ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS total FROM n GROUP BY doc_id)
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL), t AS (SELECT doc_id, """ + UTF16.format('text') + """ AS total FROM documents)
 SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM n JOIN t USING (doc_id) GROUP BY doc_id""")
 def char_entropy(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.char_entropy(F.col("text")), 6).alias("entropy"))
@@ -600,7 +602,7 @@ def shared_embedding_keys(spark, d):
     return keys.where("n > 1")
 
 
-@query("SELECT conv_id, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / greatest(1, sum(ceil(length(text) / 4.0)))::DOUBLE, 6) AS signal FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, sum(length(text))::BIGINT AS chars, round(sum(length(text)) / greatest(1, sum(ceil({UTF16.format('text')} / 4.0)))::DOUBLE, 6) AS signal FROM conversations GROUP BY conv_id")
 def signal_to_noise(spark, d):
     t = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(T.token_count(F.col("text"))).alias("saved"))
     return t.select("conv_id", "chars", F.round(F.col("chars") / F.greatest(F.lit(1), F.col("saved")), 6).alias("signal"))

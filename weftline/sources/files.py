@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators.graph import Graph, file_id
 
-# Folders that a scan passes over.
-IGNORED = ("node_modules", ".git", "dist", "build", ".next", "coverage", ".codeflow", "benchmarks", "docs")
+# Folders that a scan passes over, beside all whose names begin with a dot.
+IGNORED = ("node_modules", "dist", "build", "coverage", "benchmarks", "docs")
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and read back, so that a loop's lineage ends here and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/weftline-core/{uuid.uuid4().hex}"
+#: Where written frames lie, as long as they are referred to.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here, whichever executor is lost later."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written frames that nothing will read again; others are left alone."""
+    for df in frames:
+        if path := _WRITTEN.pop(df, None):
+            jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
