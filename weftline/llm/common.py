@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.sources.tables import shared_folder, table  # noqa: F401
+from weftline.sources.tables import cut, discard, table  # noqa: F401
 
 #: Words of the whitespace contracts are runs of anything but these bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -36,27 +34,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, whichever executor is lost later."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/weftline/{label}-{uuid.uuid4().hex}"
-    small_batches(df)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[out] = path
-    return out
-
-
-#: Where materialised frames lie, as long as they are referred to.
-_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete materialised frames that nothing will read again; others are left alone."""
-    for df in frames:
-        if path := _WRITTEN.pop(df, None):
-            jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(hadoop).delete(place, True)
+    """Write to the shared folder and read back, in small batches."""
+    return cut(small_batches(df), label)
 
 
 #: Bytes of a side that may be broadcast; beyond it the join shuffles. Files hold a third of what rows take in memory at least.
