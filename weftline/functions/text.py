@@ -139,6 +139,17 @@ def imported_names(statement: Column) -> Column:
     return F.array_distinct(F.concat(named, F.filter(F.array(default, space), lambda x: x != "")))
 
 
+def import_summary(statements: Column) -> Column:
+    """Distinct lines `path` or `path: a, b` of an array of import statements, in order; `unknown` where there is no path."""
+
+    def line(x: Column) -> Column:
+        names = imported_names(x)
+        path = F.coalesce(import_path(x), F.lit("unknown"))
+        return F.when(F.size(names) == 0, path).otherwise(F.concat(path, F.lit(": "), F.array_join(names, ", ")))
+
+    return F.array_distinct(F.transform(statements, line))
+
+
 def parameter_names(parameters: Column) -> Column:
     """Names in a parameter list: parentheses off, split at commas, cut at colons."""
     inner = F.regexp_replace(trimmed(parameters), r"^\(|\)$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import text as T
+
 from weftline.operators.search import top_k
 
 #: Rank constant of the fusion; weights of the blend; score of an injected path.
@@ -100,6 +102,15 @@ def intent_boost(query: Column, path: Column) -> Column:
     return sum((F.when(F.lower(query).rlike(words) & path.rlike(where), score).otherwise(0.0) for words, where, score, _ in INTENTS), F.lit(0.0))
 
 
+def strict_match(candidates: DataFrame, lexical_at: float, cross_at: float) -> Column:
+    """Whether a row of (query, path, max_lexical[, seed, max_cross]) is a strict match: seeded, named by the query, or of a high score."""
+    passes = T.mentions_path(F.col("query"), F.col("path")) | F.array_contains(T.mentioned_files(F.col("query")), T.normalized_path(F.col("path"))) | (F.col("max_lexical") >= lexical_at)
+    for c, bound in (("seed", 0.0), ("max_cross", cross_at)):
+        if c in candidates.columns:
+            passes = passes | (F.col(c) > bound if c == "seed" else F.col(c) >= bound)
+    return F.coalesce(passes, F.lit(False))
+
+
 def strict_filter(candidates: DataFrame, passes: Column) -> DataFrame:
     """Rows that pass; a query of which none passes keeps all."""
     any_ = F.max(F.when(passes, 1).otherwise(0)).over(Window.partitionBy("query_id"))
