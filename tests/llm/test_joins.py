@@ -105,7 +105,7 @@ def test_lines_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
-@pytest.mark.parametrize(("size", "num", "limits"), [(3, 90, {}), (5, 80, {"rows": 12}), (5, 80, {"bucket": 64, "held": 128}), (3, 90, {"held": 20})])
+@pytest.mark.parametrize(("size", "num", "limits"), [(3, 90, {}), (5, 80, {"rows": 12}), (5, 80, {"bucket": 64, "held": 128}), (5, 90, {"held": 20}), (3, 90, {"rows": 12})])
 def test_components(spark, size, num, limits):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 12, 30, 60, 150]))] for _ in range(6)]

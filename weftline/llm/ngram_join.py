@@ -3,9 +3,10 @@
 The space of shingle sets is almost discrete: unrelated documents all lie at distance 1, so document pivots drawn
 from the whole corpus separate nothing. The join therefore goes from coarse to fine, exactly at each step:
 
-1. Equal sets collapse to one point each, and documents that cannot have a link drop out: a link leaves a bounded number
-   of a document's shingles outside the other one, so of any sample of them (those whose hash lies below a border) all
-   but that many must occur elsewhere. Samples are counted in packed buckets by hash.
+1. Equal sets collapse to one point each. With long shingles, documents that cannot have a link drop out: a link leaves
+   a bounded number of a document's shingles outside the other one, so of any sample of them (those whose hash lies
+   below a border) all but that many must occur elsewhere. Samples are counted in packed buckets by hash. Short shingles
+   recur by chance in a large corpus, so there the test would cost more than it saves, and all documents go on.
 2. Coarse cells. A link allows at most t different shingles for its sizes. The shingle universe is cut into t + 1
    classes; two linked sets agree wholly on some class. Sets that agree on a class share a cell. Cells chain into
    islands; every link lies inside an island, and inside one distances are informative.
@@ -35,6 +36,8 @@ BRUTE = 16
 SAMPLE, WHOLE = 0.15, 64
 #: Bytes of text whose cells a task makes at once; a long text has some eight bytes of cells a byte.
 CELL_BYTES = 1 << 19
+#: Words of a shingle from which documents are tested for shingles that occur elsewhere.
+RARE = 5
 #: Sampled shingles a bucket is planned for, and those a task holds of one at once.
 BUCKET, HELD = 1 << 20, 1 << 21
 #: Classes of a game from which a set with empty ones has a single prefix instead of one a class.
@@ -193,8 +196,12 @@ def _met(held: int):
         bucket, parts, total, kind = None, [], 0, pa.int64()
 
         def out(who, n):
-            m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array(who[0]), pa.array(who[1].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(m, kind), *(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.int32())], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"])
+            """One row a block of documents: places and counts."""
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(who[0])) + 1, [len(n)]]).tolist() if len(n) else [0]
+            blobs = [who[1][a:b].astype("<u4").tobytes() + n[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            m = len(blobs)
+            none = lambda t: pa.nulls(m, t)
+            return pa.RecordBatch.from_arrays([pa.array(who[0][edges[:-1]], pa.int64()), none(pa.int32()), none(pa.int32()), none(kind), *(none(pa.int64()) for _ in range(4)), none(pa.int32()), pa.array(blobs, pa.binary())], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample", "counts"])
 
         def finish():
             nonlocal parts, total
@@ -208,7 +215,8 @@ def _met(held: int):
             profile = np.asarray(batch.column("n").is_valid())
             if profile.any():
                 own = batch.filter(pa.array(profile))
-                yield pa.RecordBatch.from_arrays([own.column(c) for c in ("block", "place", "met", "doc_id", "th", "n", "one", "two", "sample")], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"])
+                names = ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.nulls(own.num_rows, pa.binary())], [*names, "counts"])
             rest = batch.filter(pa.array(~profile))
             for b, block, blob in zip(rest.column("bucket").to_pylist(), rest.column("block").to_pylist(), rest.column("entries").to_pylist(), strict=True):
                 if b != bucket:
@@ -227,6 +235,27 @@ def _met(held: int):
     return run
 
 
+def _summed(batches):
+    """Rows sorted by block: (block, place, met) with the counts of all buckets."""
+    held, now = [], None
+
+    def total(block):
+        parts = [np.frombuffer(blob, "<u4").reshape(2, -1) for blob in held]
+        sums = np.bincount(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])).astype(np.int64)
+        places = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(places), block)), pa.array(places.astype(np.int32)), pa.array(sums[places])], ["block", "place", "more"])
+
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if held and block != now:
+                yield total(now)
+                held = []
+            now = block
+            held.append(blob)
+    if held:
+        yield total(now)
+
+
 class Sets:
     """Sets as slices of small integers, for counting intersections with one of them at a time."""
 
@@ -423,18 +452,12 @@ def _by_blocks(now: DataFrame, stuck: DataFrame, num: int, den: int) -> DataFram
     return left.groupBy("region", "i", "j").cogroup(right.groupBy("region", "i", "j")).applyInArrow(_cross(num, den), "a string, b string")
 
 
-def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, shingles: int, bucket: int = BUCKET, held: int = HELD) -> DataFrame:
-    """Per document row: doc_id, th (hash of the text), n (shingles), own and first: the places of the row and of its component's first row.
-
-    A place is struct(doc_id is null, doc_id, th); documents without shingles are their own component.
-    """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-
+def _tested(docs: DataFrame, size: int, num: int, den: int, bucket: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """Profiles (doc_id, th, n, one, two) of docs(doc_id, text, th); and of those with shingles also `can`: whether they can have a link."""
     # some seven bytes a word, and so a shingle
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = (int(volume / 7 * ((den - num) / den + SAMPLE)) // bucket).bit_length()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["bucket", "entries", "block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"]
 
     def profile(batches):
@@ -456,6 +479,25 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
             none = [pa.nulls(k, pa.int64()) for _ in range(4)]
             yield pa.RecordBatch.from_arrays([ints(at[edges[:-1]]), pa.array(blobs, pa.binary()), pa.array(np.full(k, block)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, batch.schema.field("doc_id").type), *none, pa.nulls(k, pa.int32())], names)
 
+    rest = f"block long, place int, met int, doc_id {kind}, th long, n long, one long, two long, sample int, counts binary"
+    dealt = docs.mapInArrow(profile, f"bucket int, entries binary, {rest.removesuffix(', counts binary')}").repartition("bucket").sortWithinPartitions("bucket")
+    counted = materialise(dealt.mapInArrow(_met(held), rest), "profiles")
+    known = counted.where("n is not null")
+    met = counted.where("n is null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block long, place int, more long")
+    missing = F.floor(F.lit(den - num) * F.col("n") / F.lit(den))
+    can = F.col("met") + F.coalesce("more", F.lit(0)) >= F.col("sample") - missing
+    return known.drop("counts"), known.where("n > 0").join(met, ["block", "place"], "left").withColumn("can", can)
+
+
+def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, shingles: int, bucket: int = BUCKET, held: int = HELD) -> DataFrame:
+    """Per document row: doc_id, th (hash of the text), n (shingles), own and first: the places of the row and of its component's first row.
+
+    A place is struct(doc_id is null, doc_id, th); documents without shingles are their own component.
+    """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+
     def to_cells(batches):
         for batch in text_blocks(batches, limit=CELL_BYTES):
             sets = shingle_sets(as_bytes(batch.column("text")), size)
@@ -470,23 +512,28 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
             _, one, two = prints(sets)
             yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array([s.tobytes() for s in sets], pa.binary())], ["one", "two", "shingles"])
 
-    rest = f"block long, place int, met int, doc_id {kind}, th long, n long, one long, two long, sample int"
-    dealt = docs.mapInArrow(profile, f"bucket int, entries binary, {rest}").repartition("bucket").sortWithinPartitions("bucket")
-    counted = materialise(dealt.mapInArrow(_met(held), rest), "profiles")
-    known = counted.where("n is not null")
-    met = counted.where("n is null").groupBy("block", "place").agg(F.sum("met").alias("more"))
-    missing = F.floor(F.lit(den - num) * F.col("n") / F.lit(den))
-    asked = known.where("n > 0").join(met, ["block", "place"], "left").withColumn("can", F.col("met") + F.coalesce("more", F.lit(0)) >= F.col("sample") - missing)
-    sets = asked.groupBy("one", "two").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("can").alias("can"))
-    sets = materialise(sets, "sets")
+    def to_prints(batches):
+        for batch in text_blocks(batches):
+            n, one, two = prints(shingle_sets(as_bytes(batch.column("text")), size))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n), _signed(one), _signed(two)], ["doc_id", "th", "n", "one", "two"])
 
-    able = materialise(sets.where("can").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "able")
     of = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("th") == F.col("t"))
-    placed = materialise(docs.join(maybe_broadcast(able), of, "left_semi").select("text").mapInArrow(to_cells, "cell long, one long"), "cells")
+    if size >= RARE:
+        known, tested = _tested(docs, size, num, den, bucket, held)
+    else:
+        known = materialise(docs.mapInArrow(to_prints, f"doc_id {kind}, th long, n long, one long, two long"), "profiles")
+        tested = known.where("n > 0").withColumn("can", F.lit(True))
+    sets = materialise(tested.groupBy("one", "two").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("can").alias("can")), "sets")
+
+    able = docs
+    if size >= RARE:
+        able = materialise(sets.where("can").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "able")
+        able = docs.join(maybe_broadcast(able), of, "left_semi")
+    placed = materialise(able.select("text").mapInArrow(to_cells, "cell long, one long"), "cells")
     shared = placed.groupBy("cell").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high")
     chained = placed.join(shared, "cell").where("one <> low").select(F.col("one").alias("a"), F.col("low").alias("b")).distinct()
     islands = materialise(components(materialise(chained, "chained")), "islands")
-    discard(able, placed)
+    discard(placed)
 
     # the shingles of one document for each set that has company
     wanted = sets.join(maybe_broadcast(islands), F.col("one") == F.col("node"))
