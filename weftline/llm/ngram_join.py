@@ -40,8 +40,8 @@ CELL_BYTES = 1 << 19
 RARE = 5
 #: Sampled shingles a bucket is planned for, and those a task holds of one at once.
 BUCKET, HELD = 1 << 20, 1 << 21
-#: Classes of a game from which a set with empty ones has a single prefix instead of one a class.
-WIDE = 64
+#: Empty classes that a set of a game has on average from which it has a single prefix instead of one a class.
+BARE = 8
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
@@ -80,6 +80,7 @@ class Bands:
         # classes of a band's join: one more than the differences that a link may have there
         self.classes = np.array([2 * h * (den - num) // (den + num) + 1 for h in self.highs], np.int64)
         self.lows, self.highs = np.array(self.lows, np.int64), np.array(self.highs, np.int64)
+        self.wide = self.classes * np.exp(-self.lows / self.classes) > BARE
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, "right") - 1
@@ -131,9 +132,9 @@ def cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.nd
         rows.append(row[~empty])
         keys.append(key[~empty])
         # two sets may agree on a class by both having nothing in it; such sets meet by a prefix of their shingles instead:
-        # one prefix a class, but one a set in games of many classes, where both numbers grow with the set
+        # one prefix a class, which chains few others, but one a set in games where both numbers grow with the set
         bare = np.flatnonzero(empty)
-        wide = bands.classes[game[row[bare]]] >= WIDE
+        wide = bands.wide[game[row[bare]]]
         _, once = np.unique(row[bare], return_index=True)
         keep = ~wide
         keep[once] = True
