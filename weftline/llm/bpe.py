@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import give_back, small_batches, text_blocks
 
 #: Distinct whitespace chunks, and pre-tokens, that a worker remembers before it starts afresh.
-CACHE, PIECES = 3 << 16, 1 << 15
+CACHE, PIECES = 1 << 18, 1 << 16
 #: Characters of a text that are normalised and cut at once, and tokens that are hashed at once.
 SEGMENT, FLUSH = 1 << 16, 4096
 #: Characters of a pre-token up to which it is encoded at once.
