@@ -64,6 +64,13 @@ def test_fusion(spark):
     assert [(r["id"], round(r["score"], 6)) for r in R.rerank(cross, 2, cross=True).orderBy("rank").collect()] == [("b", 1.0), ("a", round(0.2 / 1.2, 6))]
 
 
+def test_intent_words_end_at_other_letters(spark):
+    """Borders of words are those of ASCII, as in the SQL: a letter beyond it ends a word."""
+    r = one(spark, a="\u00e4test", b="\u00fclogin\u00df", c="xlogin atest", p="src/auth/a.ts", t="tests/a.ts")
+    boost = lambda q, p: R.intent_boost(F.col(q), F.col(p))
+    assert tuple(r.select(boost("a", "t"), boost("b", "p"), boost("c", "p"), boost("c", "t")).first()) == (1.5, 2.0, 0.0, 0.0)
+
+
 def test_intents_and_paths(spark):
     r = one(spark, q="fix the LOGIN test in src/ui/App.tsx", p="src/auth/a.ts", t="tests/a.ts", m="src\\x/../y//z.ts").select(R.intent_boost(F.col("q"), F.col("p")), R.intent_boost(F.col("q"), F.col("t")), T.mentioned_files(F.col("q")), T.normalized_path(F.col("m")), T.mentions_path(F.col("q"), F.lit("x/app.tsx"))).first()
     assert (r[0], r[1], r[2], r[3], r[4]) == (2.0, 1.5, ["src/ui/App.ts"], "src/y/z.ts", True)

@@ -14,8 +14,10 @@ RRF = 60
 WEIGHTS = {"semantic": 0.5, "lexical": 0.3, "structural": 0.2}
 CROSS_WEIGHT = 0.2
 SEED_SCORE = 5.0
+#: Word borders by A-Z, a-z, 0-9 and underscore alone: Java's own follow Unicode or not, by its version.
+START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Words of a query and paths that they favour.
-INTENTS = ((r"\b(auth|token|device|login|oauth)\b", r"src/auth/", 2.0, "Auth intent boost"), (r"\b(ui|component|tsx|react|form|input|button|validation)\b", r"src/ui/", 2.0, "UI intent boost"), (r"\btest|spec|jest|vitest\b", r"tests?/", 1.5, "Test intent boost"))
+INTENTS = ((START + "(auth|token|device|login|oauth)" + END, r"src/auth/", 2.0, "Auth intent boost"), (START + "(ui|component|tsx|react|form|input|button|validation)" + END, r"src/ui/", 2.0, "UI intent boost"), (START + "test|spec|jest|vitest" + END, r"tests?/", 1.5, "Test intent boost"))
 
 
 def candidate_pool(ann: DataFrame, lexical: DataFrame) -> DataFrame:
