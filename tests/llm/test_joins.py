@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from weftline.llm import line_dedup, ngram_join, queries
+from weftline.llm import common, line_dedup, ngram_join, queries
 from weftline.llm.common import word_hashes
 from weftline.llm.components import components
 
@@ -130,6 +130,22 @@ def test_keep_first(spark):
     assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted([(1, text + " end"), (5, "else"), (9, None), (9, None), (4, "")], key=str)
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """A side too large for one broadcast goes in parts: same rows, and no text is shuffled."""
+    rows = [(k if k % 9 else None, " ".join(f"w{k % 20 * 40 + j}" for j in range(40)) + f" e{k // 20}") for k in range(60)] + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, ngram_join.keep_first(docs, 5, 80, 100).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join.keep_first(docs, 5, 80, 100)
+        plan = found._jdf.queryExecution().toString().rpartition("Physical Plan")[2]
+        assert plan.count("BroadcastHashJoin") > 1 and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, found.collect()), key=str) == want and len(want) == 22
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components_of_links(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

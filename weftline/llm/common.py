@@ -48,6 +48,24 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if IN_MEMORY * size <= BROADCAST_BYTES else df
 
 
+def unshuffled_join(texts: DataFrame, side: DataFrame, on, how: str, by, of: str) -> DataFrame:
+    """Semi or anti join of rows with whole texts to a materialised side, without moving the texts whatever the side's size.
+
+    A side too large for one broadcast goes in parts, each met by the rows of its part in a reading of their own; `by`
+    and `of` are non-null longs of both sides that are equal wherever `on` holds.
+    """
+    size = int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(1, -(-IN_MEMORY * size // BROADCAST_BYTES))
+    if parts == 1:
+        return texts.join(F.broadcast(side), on, how)
+    out = None
+    for p in range(parts):
+        mine = lambda x: F.pmod(x, F.lit(parts)) == p  # noqa: B023, E731
+        some = texts.where(mine(F.col(by) if isinstance(by, str) else by)).join(F.broadcast(side.where(mine(F.col(of)))), on, how)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 #: Rows of one key that one task of a join takes.
 SHARE = 1 << 14
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = materialise(_star(_star(now, True), False), "links")
         # both stars leave a set of stars alone: the same links twice mean the end
         if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
+            discard(after)
             break
+        discard(now)
         now = after
     else:
         raise RuntimeError("components did not settle")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, discard, give_back, materialise, maybe_broadcast, mix, text_blocks, word_hashes
+from weftline.llm.common import as_bytes, discard, give_back, materialise, maybe_broadcast, mix, text_blocks, unshuffled_join, word_hashes
 from weftline.llm.components import components
 
 SHINGLE = 3
@@ -181,28 +181,32 @@ def _met(held: int):
     """Rows sorted by bucket: how many of its sampled shingles each set meets in other blocks, by bucket; profiles pass through."""
 
     def count(block, key, place, last: bool):
-        """What is shared among the held entries, and what to go on with: one entry a shingle."""
-        order = np.argsort(key, kind="stable")
-        block, key, place = block[order], key[order], place[order]
+        """What is shared among the held entries, and what to go on with: one entry a shingle. Packed numbers, as several workers share an executor."""
+        order = key.astype(np.uint64) << np.uint64(32)
+        order |= np.arange(len(key), dtype=np.uint64)
+        order.sort()
         head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        run = np.cumsum(head) - 1
-        shared = (np.bincount(run) > 1)[run]
-        some = shared & (place != NOBODY)
-        who, n = np.unique(np.stack([block[some], place[some].astype(np.int64)]), axis=1, return_counts=True)
-        rest = None if last else (block[head], key[head], np.where(shared[head], np.uint32(NOBODY), place[head]))
+        head[1:] = (order[1:] >> np.uint64(32)) != (order[:-1] >> np.uint64(32))
+        order = order.astype(np.uint32)
+        shared = ~head
+        shared[:-1] |= ~head[1:]
+        place = place[order]
+        some = np.flatnonzero(shared & (place != NOBODY))
+        who, n = np.unique((block[order[some]].astype(np.uint64) << np.uint64(32)) | place[some], return_counts=True)
+        rest = None if last else (block[order[head]], key[order[head]], np.where(shared[head], np.uint32(NOBODY), place[head]))
         return who, n, rest
 
     def run(batches):
-        bucket, parts, total, kind = None, [], 0, pa.int64()
+        bucket, parts, total, kind, names = None, [], 0, pa.int64(), {}
 
         def out(who, n):
             """One row a block of documents: places and counts."""
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(who[0])) + 1, [len(n)]]).tolist() if len(n) else [0]
-            blobs = [who[1][a:b].astype("<u4").tobytes() + n[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            block, place = (who >> np.uint64(32)).astype(np.int64), who.astype(np.uint32)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(n)]]).tolist() if len(n) else [0]
+            blobs = [place[a:b].astype("<u4").tobytes() + n[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
             m = len(blobs)
             none = lambda t: pa.nulls(m, t)
-            return pa.RecordBatch.from_arrays([pa.array(who[0][edges[:-1]], pa.int64()), none(pa.int32()), none(pa.int32()), none(kind), *(none(pa.int64()) for _ in range(4)), none(pa.int32()), pa.array(blobs, pa.binary())], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(list(names), np.int64)[block[edges[:-1]]]), none(pa.int32()), none(pa.int32()), none(kind), *(none(pa.int64()) for _ in range(4)), none(pa.int32()), pa.array(blobs, pa.binary())], ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample", "counts"])
 
         def finish():
             nonlocal parts, total
@@ -210,21 +214,22 @@ def _met(held: int):
                 who, n, _ = count(*(np.concatenate(x) for x in zip(*parts, strict=True)), True)
                 yield out(who, n)
             parts, total = [], 0
+            names.clear()
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             profile = np.asarray(batch.column("n").is_valid())
             if profile.any():
                 own = batch.filter(pa.array(profile))
-                names = ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"]
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.nulls(own.num_rows, pa.binary())], [*names, "counts"])
+                columns = ["block", "place", "met", "doc_id", "th", "n", "one", "two", "sample"]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in columns), pa.nulls(own.num_rows, pa.binary())], [*columns, "counts"])
             rest = batch.filter(pa.array(~profile))
             for b, block, blob in zip(rest.column("bucket").to_pylist(), rest.column("block").to_pylist(), rest.column("entries").to_pylist(), strict=True):
                 if b != bucket:
                     yield from finish()
                     bucket = b
                 m = len(blob) // 8
-                parts.append((np.full(m, block), np.frombuffer(blob, "<u4", m), np.frombuffer(blob, "<u4", m, 4 * m)))
+                parts.append((np.full(m, names.setdefault(block, len(names)), np.uint32), np.frombuffer(blob, "<u4", m), np.frombuffer(blob, "<u4", m, 4 * m)))
                 total += m
                 if total > held:  # a frequent shingle's entries become one
                     who, n, left = count(*(np.concatenate(x) for x in zip(*parts, strict=True)), False)
@@ -526,24 +531,29 @@ def _labelled(documents: DataFrame, size: int, num: int, den: int, rows: int, sh
         tested = known.where("n > 0").withColumn("can", F.lit(True))
     sets = materialise(tested.groupBy("one", "two").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("can").alias("can")), "sets")
 
-    able = docs
+    able, some = docs, None
     if size >= RARE:
-        able = materialise(sets.where("can").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "able")
-        able = docs.join(maybe_broadcast(able), of, "left_semi")
+        some = materialise(sets.where("can").select(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")), "able")
+        able = unshuffled_join(docs, some, of, "left_semi", "th", "t")
     placed = materialise(able.select("text").mapInArrow(to_cells, "cell long, one long"), "cells")
+    discard(some)
     shared = placed.groupBy("cell").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high")
     chained = placed.join(shared, "cell").where("one <> low").select(F.col("one").alias("a"), F.col("low").alias("b")).distinct()
-    islands = materialise(components(materialise(chained, "chained")), "islands")
+    chained = materialise(chained, "chained")
     discard(placed)
+    islands = materialise(components(chained), "islands")
+    discard(chained)
 
     # the shingles of one document for each set that has company
     wanted = sets.join(maybe_broadcast(islands), F.col("one") == F.col("node"))
     wanted = materialise(wanted.select("one", "two", F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t"), F.col("root").cast("string").alias("region")), "wanted")
-    side = maybe_broadcast(wanted)
-    texts = docs.join(side.select("d", "t"), of, "left_semi").select("text")
-    points = texts.mapInArrow(to_points, "one long, two long, shingles binary").join(side.select("one", "two", "region"), ["one", "two"])
+    texts = unshuffled_join(docs, wanted.select("d", "t"), of, "left_semi", "th", "t").select("text")
+    points = texts.mapInArrow(to_points, "one long, two long, shingles binary").join(maybe_broadcast(wanted.select("one", "two", "region")), ["one", "two"])
     points = points.select("region", F.format_string("%016x%016x", "one", "two").alias("id"), "shingles").dropDuplicates(["id"])
-    links = materialise(metric_links(materialise(points, "points"), num, den, rows, shingles), "links")
+    points = materialise(points, "points")
+    discard(islands, wanted)
+    links = materialise(metric_links(points, num, den, rows, shingles), "links")
+    discard(points)
 
     joined = materialise(components(links), "joined")
     named = sets.withColumn("id", F.format_string("%016x%016x", "one", "two")).join(maybe_broadcast(joined), F.col("id") == F.col("node"), "left")
@@ -575,9 +585,11 @@ def keep_first(documents: DataFrame, size: int = SHINGLE, num: int = NUM, den: i
     found = materialise(_labelled(documents, size, num, den, ISLAND_ROWS, ISLAND_SHINGLES), "labelled")
     gone = materialise(found.where("own <> first").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "gone")
     again = materialise(found.where("n > 0 and own = first").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")), "again")
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-    kept = documents.join(maybe_broadcast(gone), same, "left_anti")
+    discard(found)
+    text = F.xxhash64("text")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (text == F.col("__t"))
+    kept = unshuffled_join(documents, gone, same, "left_anti", text, "__t")
     if again.isEmpty():
         return kept
-    again = maybe_broadcast(again)
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once, repeated = (unshuffled_join(kept, again, same, how, text, "__t") for how in ("left_anti", "left_semi"))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
