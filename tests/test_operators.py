@@ -342,7 +342,7 @@ def pooled(spark):
     catalog._pools = search
 
 
-@pytest.mark.parametrize("name", ["minmax_rerank", "recent_boost", "rrf_fusion", "search_mode", "seed_injection", "source_totals"])
+@pytest.mark.parametrize("name", ["minmax_rerank", "recent_boost", "rrf_fusion", "search_mode", "seed_injection", "source_totals", "strict_filter"])
 def test_pooled_queries_sort_no_pairs(spark, pooled, name):
     """Nothing in the query's plan pairs queries with all vectors; what is left to rank are the searches' first rows."""
     found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
