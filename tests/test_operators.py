@@ -373,7 +373,7 @@ def bounded(monkeypatch):
         monkeypatch.setattr(S, name, checked(getattr(S, name)))
 
 
-@pytest.mark.parametrize("name", ["recent_boost", "rrf_fusion", "search_mode", "seed_injection", "source_totals"])
+@pytest.mark.parametrize("name", ["recent_boost", "rrf_fusion", "search_mode", "seed_injection", "source_totals", "strict_filter"])
 def test_pooled_queries_hand_small_batches(spark, bounded, name):
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
