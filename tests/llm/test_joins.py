@@ -197,3 +197,34 @@ def test_word_hashes():
     assert counts.tolist() == [6, 0, 0, 3, 2]
     by = dict(zip(["a", "bb", "ccc", "long", "a2", "b", "bb2", "a3", "longu", "é", "É"], found.tolist(), strict=True))
     assert by["a"] == by["a2"] == by["a3"] and by["bb"] == by["bb2"] and len(set(by.values())) == 8
+
+
+def test_lines_and_entries_are_handed_over_in_small_batches(spark, monkeypatch):
+    most = 1 << 18
+
+    class Checked(line_dedup.Join):
+        def entries(self, table, batches):
+            return line_dedup.Join.entries(self, table, bounded(batches))
+
+        def regions(self, batches):
+            return line_dedup.Join.regions(self, bounded(batches))
+
+    def bounded(batches):
+        for batch in batches:
+            assert batch.slice(0, max(batch.num_rows - 1, 0)).nbytes <= 1.5 * most
+            yield batch
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) for _ in range(1200)]
+    rows = [*enumerate(texts), (1200, texts[7])]
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    monkeypatch.setattr(common, "BATCH_BYTES", most)
+    monkeypatch.setattr(line_dedup, "Join", Checked)
+    try:
+        found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        assert [r["doc_id"] for r in found.where("n_removed > 0").collect()] == [1200]
+        assert found.count() == len(rows)
+    finally:
+        spark.conf.set(name, before)

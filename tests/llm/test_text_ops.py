@@ -498,3 +498,15 @@ def test_language_cases(spark):
     found = language_id.identify(docs, language_id.train(["aaa bbb", "zzz yyy"], ["xx", "yy"])).collect()
     assert [(r.doc_id, r.lang_pred) for r in found if r.doc_id in (13, 17)] == [(13, "und"), (17, "yy")]
     assert not language_id.has_letter("½ ²³ Ⅷ _ 12") and all(map(language_id.has_letter, ["é", "字", "1a", "½ж"]))
+
+
+def test_sampling_starts_no_python_daemon(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "en" if k % 2 else "de", f"text number {k}") for k in range(40)], "doc_id long, lang string, text string").localCheckpoint()
+    own = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+
+    def rows(*_, **__):
+        raise AssertionError("a list of rows is read by Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", rows)
+    texts, labels = language_id.sample(docs)
+    assert sorted(zip(texts, labels, strict=True)) == sorted((f"text number {k}", "en" if k % 2 else "de") for k in own)

@@ -14,7 +14,7 @@ from weftline.sources.tables import cut, discard, table  # noqa: F401
 
 #: Words of the whitespace contracts are runs of anything but these bytes.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: Bytes of text that a Python worker handles at once.
+#: Bytes of text that a Python worker handles at once, and rows and bytes that it is handed at once.
 BATCH_BYTES = 2 << 20
 BATCH_ROWS = 1000
 
@@ -23,13 +23,16 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same frame; from now on its session hands Python at most BATCH_ROWS rows at once.
+    """The same frame; from now on its session hands Python at most BATCH_ROWS rows or about BATCH_BYTES at once.
 
-    Rows hold whole texts or packed entries here, and the JVM and the worker each have copies of a batch.
+    Rows hold whole texts or packed entries here, and the JVM - outside its heap - and the worker each have copies of a batch.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

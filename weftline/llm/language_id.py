@@ -160,8 +160,9 @@ def sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, chars:
     sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.05).alias("ids")).orderBy(F.desc("ids"), "lang").limit(languages).collect()
     if not sizes:
         return [], []
-    # four times the rows needed pass the bound on average, so too few do hardly ever
-    shares = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * per_language / max(r["ids"], 1))) for r in sizes], "of string, share double")
+    # four times the rows needed pass the bound on average, so too few do hardly ever; a list of rows would start a Python daemon of its own
+    shares = pa.table({"of": [r["lang"] for r in sizes], "share": [min(1.0, 4 * per_language / max(r["ids"], 1)) for r in sizes]})
+    shares = usable.sparkSession.createDataFrame(shares)
     spread = F.xxhash64("doc_id")
     near = usable.join(F.broadcast(shares), F.col("lang") == F.col("of")).where((spread / F.lit(2.0**64) + 0.5) <= F.col("share"))
     order = Window.partitionBy("lang").orderBy(spread, "doc_id")

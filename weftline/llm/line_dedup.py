@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import as_bytes, discard, give_back, materialise, maybe_broadcast, mix, salted_join, text_blocks, word_hashes
+from weftline.llm.common import as_bytes, discard, give_back, materialise, maybe_broadcast, mix, salted_join, small_batches, text_blocks, word_hashes
 
 #: A match needs DEN * intersection >= NUM * union; lines of fewer words than LEAST_WORDS take no part unless the caller raises the bound.
 NUM, DEN, LEAST_WORDS = 80, 100, 1
@@ -37,7 +37,7 @@ BUCKET, HELD = 1 << 18, 1 << 20
 #: Candidates of a line in a region's first round, and partners that it is held against there.
 FIRST, STEPS = 32, 1 << 13
 #: Bytes of text whose lines a task sorts at once; their arrays take some thirty times that.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 class Ranks:
@@ -413,7 +413,7 @@ def dedup_lines(documents: DataFrame, num: int = NUM, den: int = DEN, least: int
     replaced, any others kept. An empty table gives an empty result.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("th"), _order(documents).alias("when")).where("text is not null")
+    docs = small_batches(documents).select("doc_id", "text", F.xxhash64("text").alias("th"), _order(documents).alias("when")).where("text is not null")
     words, counts, n_words, n_lines = frequent_tokens(docs)
     # a prefix is some quarter of a line
     bits = max(0, (n_words // 4 // bucket).bit_length())
